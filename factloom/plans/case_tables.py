@@ -180,7 +180,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shipped = event(
         lines, F.concat(F.lit("evt_l_"), F.col("lid")), slip_doc, F.lit("ITEM_SHIPPED"),
-        F.when(ln % 3 == 0, F.col("price")), F.when(ln % 2 == 0, none).when(ln % 5 == 0, "GBP").otherwise(_currency(ok)),
+        F.when((ln % 3 == 0) | (ln == 5), F.col("price")), F.when(ln % 2 == 0, none).when(ln % 5 == 0, "GBP").otherwise(_currency(ok)),
         F.when((ln == 4) & (ok % 10 == 3), none).when(ln % 2 == 0, F.concat(F.lit(" ord_"), s(ok))).otherwise(ord_ref),
         none,
         F.when(ln == 6, "soon").when(ln == 5, F.concat(day(F.col("sdate")), F.lit("T08:30:00Z"))).otherwise(day(F.col("sdate"))),
@@ -265,7 +265,7 @@ ev0 AS (
     total, NULL, CASE WHEN ok%4<>0 THEN 'ORD-'||ok END, 'TXN-'||ok, CAST(odate + CAST(ok%5-1 AS INTEGER) AS VARCHAR),
     0.5+((ok*11)%50)/100.0::DOUBLE, 'POSITIVE', NULL, 0 FROM o
   UNION ALL
-  SELECT ok, case_id, user_id, 'evt_l_'||lid, 'evi_s_'||ok||'_'||sk, 'ITEM_SHIPPED', CASE WHEN ln%3=0 THEN price END,
+  SELECT ok, case_id, user_id, 'evt_l_'||lid, 'evi_s_'||ok||'_'||sk, 'ITEM_SHIPPED', CASE WHEN ln%3=0 OR ln=5 THEN price END,
     CASE WHEN ln%2=0 THEN NULL WHEN ln%5=0 THEN 'GBP' ELSE CASE ok%3 WHEN 0 THEN 'USD' WHEN 1 THEN 'INR' ELSE 'EUR' END END,
     CASE WHEN ln=4 AND ok%10=3 THEN NULL WHEN ln%2=0 THEN ' ord_'||ok ELSE 'ORD-'||ok END, NULL,
     CASE WHEN ln=6 THEN 'soon' WHEN ln=5 THEN CAST(sdate AS VARCHAR)||'T08:30:00Z' ELSE CAST(sdate AS VARCHAR) END,
