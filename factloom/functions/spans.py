@@ -8,7 +8,7 @@ stay right with characters beyond the BMP. Everything is local to the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, STAND_IN = "\u0001", "\u0002", "\u0003"
@@ -106,3 +106,13 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
     for p in phrases:
         cond = cond | F.contains(text, F.lit(p))
     return cond
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """Keep later filters above the large expressions of ``df``.
+
+    A filter pushed through projections has their expressions substituted into it,
+    level by level; with extraction expressions that grows without end. Columns
+    that come out of a generator are not substituted. No shuffle, no extra rows.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

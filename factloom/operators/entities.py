@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom import rules
 from factloom.functions import refs
 from factloom.functions.spans import (
-    SPAN, disjoint_from, greedy_by_start, greedy_disjoint, not_covered, quote, spans,
+    SPAN, barrier, disjoint_from, greedy_by_start, greedy_disjoint, not_covered, quote, spans,
 )
 
 _CUR = "|".join(quote(k) for k in sorted(rules.CURRENCIES, key=lambda k: (-len(k), k)))
@@ -381,9 +381,11 @@ def annotate(
     anchor_c = F.col(anchor) if anchor else F.lit(None).cast("string")
     country_c = F.col(country) if country else F.lit(None).cast("string")
     resolved = resolve_overlaps(candidate_spans(docs, gazetteer))
-    return resolved.withColumn(
-        "mentions", F.transform("_spans", lambda m: _normalized(m, F.col("text"), anchor_c, country_c))
-    ).drop("_spans")
+    return barrier(
+        resolved.withColumn(
+            "mentions", F.transform("_spans", lambda m: _normalized(m, F.col("text"), anchor_c, country_c))
+        ).drop("_spans")
+    )
 
 
 def mentions(annotated: DataFrame, etypes: list[str] | None = None) -> DataFrame:
@@ -397,10 +399,16 @@ def mentions(annotated: DataFrame, etypes: list[str] | None = None) -> DataFrame
     )
 
 
+def _ruled(rule: str):
+    return lambda s: F.struct(
+        F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw")
+    )
+
+
 def extract(docs: DataFrame, *patterns: str) -> DataFrame:
     """Raw matches of single patterns, without overlap rules: (evidence_id, rule, start, end, raw)."""
     parts = F.concat(*[
-        F.transform(find(F.col("text"), r), lambda s, r=r: F.struct(F.lit(r).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw")))
+        F.transform(find(F.col("text"), r), _ruled(r))
         for r in patterns
     ])
     return docs.select("evidence_id", F.inline(parts))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import rules
 from factloom.functions import refs
-from factloom.functions.spans import SPAN, any_of, contains_any, greedy_disjoint, guarded, quote, spans
+from factloom.functions.spans import any_of, barrier, contains_any, greedy_disjoint, guarded, quote, spans
 
 MARK = "\u0001"
 SENTENCE = "struct<start:int,end:int,text:string>"
@@ -67,6 +67,12 @@ def is_disclaimer(lowered: Column) -> Column:
     return hit
 
 
+def _typed(etype: str):
+    return lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), F.lit(etype).alias("etype")
+    )
+
+
 def candidate_array(sentence: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """All triggers of a sentence, overlaps resolved in favour of the longer one, in text order."""
     lexicon = lexicon or rules.TRIGGERS
@@ -74,10 +80,7 @@ def candidate_array(sentence: Column, lexicon: dict[str, list[str]] | None = Non
     found = []
     for etype, phrases in lexicon.items():
         gate = r"(?iU)\b(?:" + "|".join(sorted({quote(p.split()[0]) for p in phrases})) + r")\b"
-        hits = F.transform(
-            spans(sentence, trigger_pattern(phrases)),
-            lambda s, e=etype: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), F.lit(e).alias("etype")),
-        )
+        hits = F.transform(spans(sentence, trigger_pattern(phrases)), _typed(etype))
         found.append(F.when(sentence.rlike(gate), hits).otherwise(empty))
     keyed = F.transform(
         F.concat(*found),
@@ -131,7 +134,7 @@ def with_candidates(sentences: DataFrame, lexicon: dict[str, list[str]] | None =
             F.when(neg, 0.92).when(F.col("s_modality") != "ASSERTED", 0.90).otherwise(0.95).alias("confidence"),
         )
 
-    return raw.withColumn("candidates", F.transform("_c", judged)).drop("_c")
+    return barrier(raw.withColumn("candidates", F.transform("_c", judged)).drop("_c"))
 
 
 def detect_triggers(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
@@ -235,7 +238,7 @@ def extract_events(annotated: DataFrame) -> DataFrame:
         F.col("s_modality").alias("modality"), F.col("s_tense").alias("tense"),
         F.col("_c.confidence").alias("model_confidence"), F.col("s_text").alias("context_sentence"),
     )
-    return bind_slots(rows).withColumn("event_id", _event_id()).select(*EVENT)
+    return barrier(bind_slots(rows).withColumn("event_id", _event_id()).select(*EVENT))
 
 
 def classify_sentences(sentences: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
@@ -360,7 +363,7 @@ def validate_sentences(annotated: DataFrame, predictions: DataFrame | None = Non
         F.col("label_confidence"),
     )
     only = lambda c: F.when(F.col("is_event"), F.col(c)).alias(c)
-    return three.select(
+    return barrier(three.select(
         "evidence_id", "sent_ix", "label", F.col("label_confidence").alias("model_confidence"),
         state.alias("decision_state"), F.col("is_event").alias("has_event"),
         F.when(F.col("is_event"), F.when(low, F.array(low_text)).otherwise(F.col("_reasons"))).otherwise(F.array().cast("array<string>")).alias("review_reasons"),
@@ -373,7 +376,7 @@ def validate_sentences(annotated: DataFrame, predictions: DataFrame | None = Non
         only("event_type"), only("trigger_raw_text"), only("char_start"), only("char_end"), only("polarity"),
         only("modality"), only("tense"), F.col("s_text").alias("context_sentence"), *[only(c) for c in SLOTS],
         F.when(F.col("is_event"), _event_id()).alias("event_id"),
-    )
+    ))
 
 
 def _is_clock(t: Column) -> Column:
