@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom import rules
 
 SEGMENT = 4096
+SKIP = "\uffff"
 
 
 @functools.cache
@@ -31,17 +32,16 @@ def _kept_chars(raw: Column) -> Column:
     """array<struct<c, at>>: output characters with the raw position each comes from."""
     table = _nfc_changes()
     nfc = F.map_from_arrays(F.split(F.lit("|".join(table)), r"\|"), F.split(F.lit("|".join(table.values())), r"\|"))
-    chars = F.split(raw, "")
+    # the LF of a CRLF is marked with a noncharacter of the same length, then dropped
+    chars = F.split(F.replace(raw, F.lit("\r\n"), F.lit("\r" + SKIP)), "")
     zero_width = F.array(*[F.lit(z) for z in rules.ZERO_WIDTH])
     pairs = F.transform(
         chars,
         lambda c, i: F.struct(
             F.when(c == "\r", "\n").otherwise(c).alias("c"), i.alias("at"),
-            # the LF of a CRLF is dropped, its CR stands for both
-            ((c == "\n") & (i > 0) & (F.try_element_at(chars, i) == "\r")).alias("skip"),
         ),
     )
-    kept = F.filter(pairs, lambda p: ~F.coalesce(p["skip"], F.lit(False)) & ~F.array_contains(zero_width, p["c"]) & (p["c"] != ""))
+    kept = F.filter(pairs, lambda p: (p["c"] != SKIP) & ~F.array_contains(zero_width, p["c"]) & (p["c"] != ""))
     special = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(table)) + "]"
     expand = F.flatten(
         F.transform(
