@@ -40,13 +40,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a temporary one only where none is named (tests)."""
+    """The folder the session names in spark.checkpoint.dir.
+
+    A session that runs in one process (local mode: tests, the benchmark) and names none gets
+    a temporary folder; on a cluster the missing setting is an error, as executors share no disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _own_folders[context.applicationId]
 
 
 def write_shared(df: DataFrame, name: str) -> str:
