@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, minmax
+from factloom.llm import bpe, minmax, rule_ensemble
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,10 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
