@@ -63,11 +63,19 @@ def hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((sums[end] - sums[start]) * inverse[start])
 
 
-def of_texts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Groups of consecutive texts: the first one's number, the word hashes, and each text's end among them."""
+#: A-Z lower-cased, as for plain words, and ASCII punctuation turned into spaces.
+BARE = bytes(32 if 32 < c < 128 and not chr(c).isalnum() else c + 32 * (65 <= c <= 90) for c in range(256))
+
+
+def of_texts(texts: list[str], table: bytes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Groups of consecutive texts: the first one's number, the word hashes, and each text's end among them.
+
+    ``table`` maps the bytes first (BARE for words without punctuation); else A-Z are lower-cased.
+    """
     group, size, first = [], 0, 0
     for k, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
+        raw = text.encode("utf-8", "surrogatepass")
+        raw = raw.translate(table) if table else raw.lower()  # bytes.lower() changes A-Z only
         group.append(raw)
         size += len(raw) + 1
         if size >= CHUNK_BYTES or k == len(texts) - 1:
@@ -77,8 +85,8 @@ def of_texts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             group, size, first = [], 0, k + 1
 
 
-def of_text(text: str) -> np.ndarray:
-    return next(of_texts([text]))[1]
+def of_text(text: str, table: bytes | None = None) -> np.ndarray:
+    return next(of_texts([text], table))[1]
 
 
 def shingles(word: np.ndarray, ends: np.ndarray, width: int) -> Iterator[np.ndarray]:
