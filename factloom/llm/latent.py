@@ -4,16 +4,17 @@ Documents are cut into passages of three blocks of 16 words, one for each block.
 randomised singular value decomposition of the passages' TF-IDF matrix, restricted to
 the words of the benchmark, gives a latent space: two passes over the passages multiply
 a block of random vectors by the matrix and its transpose, each task summing its own
-share. Items and passages are compared by cosine in that space, with the axes scaled by
-the singular values. What is near enough is checked on the words: the longest common
+share. Items and passages are compared by cosine in that space, with the axes divided by
+the roots of the singular values. What is near enough is checked on the words: the longest common
 subsequence of item and text and, for paraphrases, of the item's answer (a column, or
 its last sentence) and the text.
 
 The benchmark is worked off in blocks of ITEMS items, the only part of it that driver
 and tasks hold; the text of the documents is read once for each block, and everything
 after runs on word numbers (0 for words outside the benchmark). Words in more than a
-thousandth of the blocks carry no weight, in the matrix and in the check, except that
-each item keeps its rarest words, so one that is found everywhere is found.
+thousandth of the blocks are common and carry no weight. Items of common words only, as
+one is that stands in a third of all documents, are searched in a second space where
+common words count and axes aren't scaled, so what is frequent isn't lost.
 
 Defined results: a null or empty text, or item, matches nothing; words are lower-cased
 in A-Z and cut at white space and ASCII punctuation; repeated rows are reported each,
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm import batches, words
 from factloom.session import materialize
@@ -37,14 +39,15 @@ from factloom.session import materialize
 ITEMS = 2048
 BLOCK, BLOCKS = 16, 3
 RANK, EXTRA = 128, 16
-#: Words in more than this share of the blocks carry no weight, but every item keeps so many of its rarest.
-COMMON, RAREST = 0.001, 16
+#: Words in more than this share of the blocks are common and carry no weight. Items with fewer than
+#: LEAST_CONTENT other words are searched in a space of their own, spanned by so many of each one's rarest.
+COMMON, RAREST = 0.001, 12
 #: Words in so many blocks at most are never common.
 FEW = 50
-LEAST_COSINE = 0.4
+LEAST_COSINE, LEAST_COSINE_COMMON = 0.4, 0.6
 #: Shares of an item's words of weight, in order, that make a copy; and a paraphrase, if the answer's are there too.
 COPY, PARAPHRASE, ANSWER = 0.6, 0.4, 0.75
-#: With fewer words of weight, all words of an item count, and this share makes a copy.
+#: With fewer words that aren't common, all words of an item count, and this share makes a copy.
 LEAST_CONTENT, PLAIN_COPY = 6, 0.8
 #: Words of an answer that isn't given: a shorter last sentence is extended to the left.
 LEAST_ANSWER = 6
@@ -185,9 +188,8 @@ def _total(numbered: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
     return sum((np.frombuffer(r.values) for r in merged.collect()), np.zeros(int(np.prod(shape)))).reshape(shape)
 
 
-def weights(numbered: DataFrame, bench: Benchmark, dtype: str) -> np.ndarray:
-    """Inverse document frequency over blocks; the number 0 and common words have none."""
-    n_words = len(bench.vocabulary)
+def word_counts(numbered: DataFrame, n_words: int, dtype: str) -> np.ndarray:
+    """The number of blocks, and of blocks with each word."""
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         blocks = _Blocks(_rows(batch, dtype), np.ones(n_words + 1))
@@ -196,18 +198,33 @@ def weights(numbered: DataFrame, bench: Benchmark, dtype: str) -> np.ndarray:
         total += np.bincount(seen, minlength=n_words + 1)
         total[0] += blocks.first[-1]
 
-    counts = _total(numbered, (n_words + 1,), add)
-    n, df = counts[0], counts.copy()
-    idf = np.maximum(np.log((1 + n) / (1 + df)), 0.1)
-    held = df <= max(COMMON * n, FEW)
-    for item in bench.items:
-        held[sorted(set(item.tolist()), key=lambda w: (df[w], w))[:RAREST]] = True
-    held[0] = False
-    return np.where(held, idf, 0.0)
+    return _total(numbered, (n_words + 1,), add)
+
 
+def groups(bench: Benchmark, counts: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, bool]]:
+    """(items, word weights, whether the items are of common words): the searches that a block of items needs.
 
-def latent_space(numbered: DataFrame, weight: np.ndarray, dtype: str, seed: int = 2) -> np.ndarray:
-    """(words, rank) vectors of words: right singular vectors by weight, scaled by singular values."""
+    Weights are inverse document frequencies over blocks of words.
+    """
+    n, df = counts[0], counts.copy()
+    df[0] = n
+    idf = np.maximum(np.log((1 + n) / (1 + df)), 0.1)
+    rare = df <= max(COMMON * n, FEW)
+    rare[0] = False
+    content = [int(rare[i].sum()) for i in bench.items]
+    first = [k for k, c in enumerate(content) if c >= LEAST_CONTENT]
+    second = [k for k, c in enumerate(content) if c < LEAST_CONTENT and len(bench.items[k])]
+    if first:
+        yield first, np.where(rare, idf, 0.0), False
+    if second:
+        held = np.zeros(len(df), bool)
+        for k in second:
+            held[sorted(set(bench.items[k].tolist()), key=lambda w: (df[w], w))[:RAREST]] = True
+        yield second, np.where(held, idf, 0.0), True
+
+
+def latent_space(numbered: DataFrame, weight: np.ndarray, dtype: str, scaled: bool, seed: int = 2) -> np.ndarray:
+    """(words, rank) vectors of words: right singular vectors by weight, divided by the roots of the singular values or not."""
     context = numbered.sparkSession.sparkContext
     size = (len(weight), min(RANK + EXTRA, len(weight)))
     basis = np.random.default_rng(seed).standard_normal(size)
@@ -224,32 +241,32 @@ def latent_space(numbered: DataFrame, weight: np.ndarray, dtype: str, seed: int
         last, basis = basis, image
     square, turn = np.linalg.eigh(last.T @ image)
     best = np.argsort(-square)[: min(RANK, size[1])]
-    best = best[square[best] > 1e-9 * max(square.max(), 1e-300)]
-    return ((last @ turn[:, best]) / np.sqrt(square[best]) * weight[:, None]).astype(np.float32)
+    best = best[square[best] > 1e-5 * max(square.max(), 1e-300)]  # sums are of single precision
+    vectors = last @ turn[:, best] * weight[:, None]
+    return (vectors / square[best] ** 0.25 if scaled else vectors).astype(np.float32)
 
 
 class Search:
     """What a task needs to find the items of a block: their latent vectors and their words that carry weight."""
 
-    def __init__(self, bench: Benchmark, vectors: np.ndarray, weight: np.ndarray):
-        self.ids, self.vectors, self.weight = bench.ids, vectors, weight
-        whole = [len(i) for i in bench.items]
-        items = [i[weight[i] > 0] for i in bench.items]
-        # an item of nearly common words only is compared on all of them
-        self.plain = [len(i) < LEAST_CONTENT for i in items]
-        items = [a if p else i for i, a, p in zip(items, bench.items, self.plain)]
-        answers = [a if p or not (weight[a] > 0).any() else a[weight[a] > 0] for a, p in zip(bench.answers, self.plain)]
-        self.sizes, self.spans = [len(i) for i in items], whole
+    def __init__(self, bench: Benchmark, held: list[int], vectors: np.ndarray, weight: np.ndarray, plain: bool):
+        self.vectors, self.weight, self.plain = vectors, weight, plain
+        self.ids = [bench.ids[k] for k in held]
+        whole, answers = [bench.items[k] for k in held], [bench.answers[k] for k in held]
+        items = whole if plain else [i[weight[i] > 0] for i in whole]
+        answers = [a if plain or not (weight[a] > 0).any() else a[weight[a] > 0] for a in answers]
+        self.sizes, self.spans = [len(i) for i in items], [len(i) for i in whole]
         self.masks, self.answers = [masks(i) for i in items], [(masks(a), len(a)) for a in answers]
-        queries = np.stack([vectors[i].sum(axis=0) for i in bench.items])
+        self.least = LEAST_COSINE_COMMON if plain else LEAST_COSINE
+        queries = np.stack([vectors[i].sum(axis=0) for i in whole])
         norms = np.linalg.norm(queries, axis=1)
         self.unit = np.where(norms[:, None] > 0, queries / np.maximum(norms, 1e-30)[:, None], 0).T.copy()
 
     def check(self, i: int, text: np.ndarray) -> tuple[float, float] | None:
         """Shares of item i and of its answer that the text has in order, if they make a match."""
         known, n = self.masks[i], self.sizes[i]
-        text = [w for w in (text if self.plain[i] else text[self.weight[text] > 0]).tolist() if w in known]
-        copy, paraphrase = (PLAIN_COPY, PLAIN_COPY) if self.plain[i] else (COPY, PARAPHRASE)
+        text = [w for w in (text if self.plain else text[self.weight[text] > 0]).tolist() if w in known]
+        copy, paraphrase = (PLAIN_COPY, PLAIN_COPY) if self.plain else (COPY, PARAPHRASE)
         if not n or len(text) < paraphrase * n:
             return None
         share = common_subsequence(known, text) / n
@@ -269,7 +286,7 @@ class Search:
         for at in range(0, len(live), 2048):
             rows = live[at : at + 2048]
             near = (latent[rows] / size[rows, None]) @ self.unit
-            for p, i in zip(*(x.tolist() for x in np.nonzero(near >= LEAST_COSINE))):
+            for p, i in zip(*(x.tolist() for x in np.nonzero(near >= self.least))):
                 row = int(rows[p])
                 d = int(blocks.doc[row])
                 start = max(0, row - int(blocks.first[d]) - 1) * BLOCK
@@ -295,8 +312,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     (copy or paraphrase).
     """
     spark = batches.ready(docs.sparkSession)
-    kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()]
-    schema = f"id {kinds[0]}, item {kinds[1]}, cosine double, item_share double, answer_share double, start_word long"
+    item_type = benchmark.schema[item].dataType
+    schema = f"id {docs.schema[key].dataType.simpleString()}, item {item_type.simpleString()}, cosine double, item_share double, answer_share double, start_word long"
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     items = benchmark.select(item, item_text, F.col(answer) if answer else F.lit(None).cast("string"))
     parts = []
@@ -307,21 +324,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             continue
         dtype = "<u2" if n < 65_535 else "<u4"
         numbered = materialize(_numbered(docs, bench, dtype), "numbered")
-        weight = weights(numbered, bench, dtype)
-        shared = spark.sparkContext.broadcast(Search(bench, latent_space(numbered, weight, dtype), weight))
-
-        def run(it: Iterator[pa.RecordBatch], shared=shared, dtype=dtype) -> Iterator[pa.RecordBatch]:
-            search = shared.value
-            for batch in it:
-                found = list(zip(*search.found(_rows(batch, dtype)))) or [()] * 6
-                ids = batch.column("id").take(pa.array([int(d) for d in found[0]], pa.int64()))
-                named = pa.array([search.ids[i] for i in found[1]], pa.from_numpy_dtype(np.int64) if kinds[1] == "bigint" else None)
-                numbers = [pa.array(x, pa.float64()) for x in found[2:5]] + [pa.array(found[5], pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, named, *numbers], names=["id", "item", "cosine", "item_share", "answer_share", "start_word"]
-                )
-
-        parts.append(materialize(numbered.mapInArrow(run, schema), "contaminated"))
+        for held, weight, common in groups(bench, word_counts(numbered, n, dtype)):
+            vectors = latent_space(numbered, weight, dtype, not common)
+            shared = spark.sparkContext.broadcast(Search(bench, held, vectors, weight, common))
+
+            def run(it: Iterator[pa.RecordBatch], shared=shared, dtype=dtype) -> Iterator[pa.RecordBatch]:
+                search = shared.value
+                for batch in it:
+                    found = list(zip(*search.found(_rows(batch, dtype)))) or [()] * 6
+                    ids = batch.column("id").take(pa.array([int(d) for d in found[0]], pa.int64()))
+                    named = pa.array([search.ids[i] for i in found[1]], to_arrow_type(item_type))
+                    numbers = [pa.array(x, pa.float64()) for x in found[2:5]] + [pa.array(found[5], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, named, *numbers], names=["id", "item", "cosine", "item_share", "answer_share", "start_word"]
+                    )
+
+            parts.append(materialize(numbered.mapInArrow(run, schema), "contaminated"))
     if not parts:
         parts = [docs.limit(0).select("id", *[F.lit(None).cast(t).alias(c) for c, t in
                  (x.split() for x in schema.split(", ")[1:])])]
