@@ -7,10 +7,10 @@ A band has the two ends of two permutations; two documents with a similarity of
 share none of the 40 bands with a probability of (1 - 0.75^4)^40, about 2.5e-7.
 
 1. Documents with equal shingle sets are one class; classes go on, not copies.
-2. Every class is compared on full shingle sets with the smallest class of each of its
-   bands. Links give components. In most bands all classes are then in one component.
+2. Every class is compared on full shingle sets with the leading class of each of its
+   bands, the one that meets the most others. Links give components. In most bands all classes are then in one component.
 3. In the other bands, classes of different components are compared: those whose
-   signatures agree in half of the values, on full sets. Hot bands are cut into blocks
+   signatures agree in 0.6 of the values, on full sets. Hot bands are cut into blocks
    and only pairs of blocks that can hold such classes meet.
 
 Every link is confirmed on full sets and none between components is left out by a cap.
@@ -38,9 +38,9 @@ from factloom.session import materialize
 WIDTH = 5
 BANDS = 40
 PERMUTATIONS = 2 * BANDS
-#: Share of equal signature values under which two classes aren't compared on full sets: five standard
-#: deviations below 0.75 even if the two ends of a permutation agree only together.
-LEAST_AGREEMENT = 0.5
+#: Share of equal signature values under which two classes aren't compared on full sets: more than four
+#: standard deviations below 0.75; for small sets, whose ends depend on each other, five of a larger one.
+LEAST_AGREEMENT, LEAST_AGREEMENT_SMALL, SMALL = 0.6, 0.5, 64
 #: Classes of a band that one block holds.
 BLOCK = 256
 
@@ -128,21 +128,19 @@ def _confirmed(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = materialize(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     a = held.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = held.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = held.schema["id"].dataType.simpleString()
     return materialize(joined.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"), "links")
 
 
 def _across(group: pa.Table) -> pa.Table:
     """Pairs of a block pair that can be similar: other component, signatures that agree, first shared band."""
     sig = _signatures(group.column("sig").combine_chunks())
-    flat = sig.reshape(len(sig), -1)
+    flat, size = sig.reshape(len(sig), -1), np.array(group.column("n"))
     out = np.array(group.column("out"))
     label = np.array(group.column("label").combine_chunks().dictionary_encode().indices)
     kind, band = group.column("kind")[0].as_py(), group.column("band")[0].as_py()
@@ -156,7 +154,8 @@ def _across(group: pa.Table) -> pa.Table:
             near = near[near > i]
         if not len(near):
             continue
-        near = near[(flat[near] == flat[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        least = LEAST_AGREEMENT_SMALL if size[i] < SMALL else LEAST_AGREEMENT
+        near = near[(flat[near] == flat[i]).mean(axis=1) >= least]
         if len(near):
             keys = band_keys(sig) if keys is None else keys
             same = keys[near] == keys[i]
@@ -190,7 +189,7 @@ def _cells(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     from_in = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda i: cell("oi", i, F.col("own")))
     cells = F.explode(F.when(F.col("out"), F.concat(to_in, to_out)).otherwise(from_in)).alias("cell")
     dealt = rows.select("band", "id", "out", "label", cells).select("band", "id", "out", "label", "cell.*")
-    dealt = dealt.join(classes.select("id", "sig"), "id")
+    dealt = dealt.join(classes, "id")
     return dealt.groupBy("band", "kind", "x", "y").applyInArrow(_across, f"a {kind}, b {kind}").distinct()
 
 
@@ -208,12 +207,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sets = materialize(
         signed.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id")), "sets"
     )
-    classes = materialize(signed.join(sets, ["id", *same]).dropDuplicates(["id", *same]).select("id", "sig"), "classes")
+    classes = materialize(signed.join(sets, ["id", *same]).dropDuplicates(["id", *same]).select("id", "n", "sig"), "classes")
     bands = materialize(classes.mapInArrow(_banded, f"band long, id {kind}"), "bands")
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
-    members = materialize(bands.join(leaders, "band"), "members")
+    shared = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    shared = materialize(bands.join(shared, "band"), "shared")
+    # the class that meets the most others leads a band: of near copies, the text they were made from
+    met = shared.groupBy("id").agg(F.sum("k").alias("met"))
+    leaders = shared.join(met, "id").groupBy("band").agg(F.max_by("id", "met").alias("leader"))
+    members = materialize(shared.drop("k").join(leaders, "band"), "members")
+    # a merge join at every size: texts move once, in proportion to the input
+    held = docs.join(met.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    held = materialize(held, "texts")
     first = members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    labels = components(_linked(first, docs, percent))
+    labels = components(_linked(first, held, percent))
 
     by = lambda c, out: labels.select(F.col("node").alias(c), F.col("component").alias(out))
     named = members.join(by("id", "label"), "id", "left").join(by("leader", "theirs"), "leader", "left").select(
@@ -221,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         (F.coalesce("label", "id") != F.coalesce("theirs", "leader")).alias("out"),
     )
     second = materialize(_cells(materialize(named, "members"), classes, kind), "pairs")
-    found = _linked(second, docs, percent)
+    found = _linked(second, held, percent)
     between = found.join(by("a", "x"), "a", "left").join(by("b", "y"), "b", "left").select(
         F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")
     )
