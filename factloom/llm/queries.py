@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, latent, minmax, rule_ensemble
+from factloom.llm import bpe, latent, minmax, rule_ensemble, token_files
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY, END_ID)
+    return token_files.digests(path, spark, "bigint").withColumnRenamed("key", "doc_id")
+
+
 def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
