@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, latent, minmax, rule_ensemble, token_files
+from factloom.llm import bpe, latent, minmax, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+URL_RULES = [
+    url_rules.Rule("net/", "block"), url_rules.Rule("example.net/en/", "allow"),
+    url_rules.Rule("example.com/de/", "block"), url_rules.Rule("org/fr/", "allow"),
+]
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,10 @@ def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_wildcard_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,4 +47,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_wildcard_urls": """
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        r(rule, verdict, h, p) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+          ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/'))
+        SELECT page_id, host, path, arg_max(r.rule, length(r.rule)) AS rule,
+          coalesce(arg_max(r.verdict, length(r.rule)), 'allow') AS verdict
+        FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
+        GROUP BY page_id, host, path"""}
