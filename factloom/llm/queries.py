@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, latent, minmax, rule_ensemble, token_files, url_rules
+from factloom.llm import bpe, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +33,10 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY, END_ID)
     return token_files.digests(path, spark, "bigint").withColumnRenamed("key", "doc_id")
