@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
+from factloom.llm import bpe, char_cnn, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,6 +47,25 @@ def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _spans(column: str, kinds: tuple[str, ...] | None = None):
+    """kind:start:end of findings in their order, comma-joined; of some kinds, or all."""
+    held = F.col(column) if kinds is None else F.filter(column, lambda x: x["kind"].isin(*kinds))
+    return F.array_join(F.transform(held, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count(column: str, kind: str):
+    return F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long")
+
+
+def op10_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = char_cnn.find(docs, char_cnn.learn(docs)).drop("text")
+    return found.select(
+        "doc_id", *[_count("secrets", k).alias(f"n_{k}") for k in char_cnn.KINDS],
+        F.sha2(_spans("secrets", char_cnn.KINDS), 256).alias("base_sha256"), _spans("secrets").alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
