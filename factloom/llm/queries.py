@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, char_cnn, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
+from factloom.llm import bpe, char_cnn, disclosure, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +38,14 @@ def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_count("base", k).alias(f"n_{k}") for k in disclosure.KINDS],
+        F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("spans").alias("spans"),
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY, END_ID)
     return token_files.digests(path, spark, "bigint").withColumnRenamed("key", "doc_id")
