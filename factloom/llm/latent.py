@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm import batches, words
+from factloom.llm.sums import merged
 from factloom.session import materialize
 
 ITEMS = 2048
@@ -51,7 +52,6 @@ COPY, PARAPHRASE, ANSWER = 0.6, 0.4, 0.75
 LEAST_CONTENT, PLAIN_COPY = 6, 0.8
 #: Words of an answer that isn't given: a shorter last sentence is extended to the left.
 LEAST_ANSWER = 6
-SUMS = 16
 
 
 class Benchmark:
@@ -163,10 +163,7 @@ def _rows(batch: pa.RecordBatch, dtype: str) -> list[np.ndarray]:
 
 
 def _total(numbered: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
-    """The sum of an array that every task fills by ``add(batch, array)``.
-
-    Arrays are added up in SUMS tasks; the driver gets one from each, whatever the number of tasks.
-    """
+    """The sum of an array that every task fills by ``add(batch, array)``."""
 
     def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -174,18 +171,7 @@ def _total(numbered: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
             add(batch, total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["values"])
 
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in it:
-            for x in batch.column("values"):
-                values = np.frombuffer(x.as_buffer())
-                total = values.copy() if total is None else total + values
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["values"])
-
-    parts = numbered.mapInArrow(fill, "values binary").withColumn("slot", F.spark_partition_id() % SUMS)
-    merged = parts.repartition(SUMS, "slot").select("values").mapInArrow(merge, "values binary")
-    return sum((np.frombuffer(r.values) for r in merged.collect()), np.zeros(int(np.prod(shape)))).reshape(shape)
+    return merged(numbered.mapInArrow(fill, "values binary"), int(np.prod(shape))).reshape(shape)
 
 
 def word_counts(numbered: DataFrame, n_words: int, dtype: str) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, char_cnn, disclosure, latent, minmax, rotated_codes, rule_ensemble, token_files, url_rules
+from factloom.llm import bpe, char_cnn, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,10 @@ def op4_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
