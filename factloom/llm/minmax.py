@@ -242,3 +242,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     ).dropDuplicates([key, "component_id"])
     return out.withColumn("kept", F.col(key).isNull() | (F.col(key) == F.col("component_id")))
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs that are kept, one for each key; columns unchanged.
+
+    Rows without a key all stay; of rows that repeat a key, one does.
+    """
+    rows = near_duplicates(docs, key, text, percent).where("not kept").select(F.col(key).alias("__copy"))
+    kept = docs.join(rows, F.col(key) == F.col("__copy"), "left_anti")
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factloom.llm import bpe, char_cnn, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_files, url_rules
 from factloom.llm.batches import table
 
@@ -79,7 +80,8 @@ def op10_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    numbered = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    return numbered | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
