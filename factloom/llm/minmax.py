@@ -9,9 +9,10 @@ share none of the 40 bands with a probability of (1 - 0.75^4)^40, about 2.5e-7.
 1. Documents with equal shingle sets are one class; classes go on, not copies.
 2. Every class is compared on full shingle sets with the leading class of each of its
    bands, the one that meets the most others. Links give components. In most bands all classes are then in one component.
-3. In the other bands, classes of different components are compared: those whose
-   signatures agree in 0.6 of the values, on full sets. Hot bands are cut into blocks
-   and only pairs of blocks that can hold such classes meet.
+3. In the other bands, a class asks about every other component with a class whose
+   signature agrees with its own in 0.6 of the values, and is compared with the members
+   of that component on full sets until one is similar. Hot bands and components are cut
+   into blocks; pairs of blocks meet, and what they give is links, never pairs.
 
 Every link is confirmed on full sets and none between components is left out by a cap.
 
@@ -111,18 +112,19 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    few, many = sorted((len(a), len(b)))
+    both = _shared(a, b) if few and 100 * few >= percent * many else 0
+    return both > 0 and 100 * both >= percent * (few + many - both)
+
+
 def _confirmed(percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             a, b = batches.texts(batch, "text_a"), batches.texts(batch, "text_b")
             distinct = {t: k for k, t in enumerate(dict.fromkeys(b))}
             second = list(_sets(list(distinct)))
-            keep = []
-            for x, t in zip(_sets(a), b):
-                y = second[distinct[t]]
-                few, many = sorted((len(x), len(y)))
-                both = _shared(x, y) if few and 100 * few >= percent * many else 0
-                keep.append(both > 0 and 100 * both >= percent * (few + many - both))
+            keep = [_similar(x, second[distinct[t]], percent) for x, t in zip(_sets(a), b)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -137,60 +139,99 @@ def _linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"), "links")
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Pairs of a block pair that can be similar: other component, signatures that agree, first shared band."""
+def _asked(group: pa.Table) -> pa.Table:
+    """Which classes of a block pair may be similar to one of which other component: (class, component)."""
     sig = _signatures(group.column("sig").combine_chunks())
     flat, size = sig.reshape(len(sig), -1), np.array(group.column("n"))
-    out = np.array(group.column("out"))
-    label = np.array(group.column("label").combine_chunks().dictionary_encode().indices)
-    kind, band = group.column("kind")[0].as_py(), group.column("band")[0].as_py()
+    out, names = np.array(group.column("out")), group.column("label").to_pylist()
+    order = {name: k for k, name in enumerate(sorted(set(names)))}
+    label = np.array([order[name] for name in names])
+    both_out = group.column("kind")[0].as_py() == "oo"
     rows = np.flatnonzero(out)
-    others = rows if kind == "oo" else np.flatnonzero(~out)
-    keys = None
-    a, b = [], []
+    others = rows if both_out else np.flatnonzero(~out)
+    a, c = [], []
     for i in rows.tolist():
-        near = others[label[others] != label[i]]
-        if kind == "oo":
-            near = near[near > i]
-        if not len(near):
-            continue
+        near = others[label[others] < label[i]] if both_out else others[label[others] != label[i]]
         least = LEAST_AGREEMENT_SMALL if size[i] < SMALL else LEAST_AGREEMENT
         near = near[(flat[near] == flat[i]).mean(axis=1) >= least]
-        if len(near):
-            keys = band_keys(sig) if keys is None else keys
-            same = keys[near] == keys[i]
-            near = near[keys[i][same.argmax(axis=1)] == band]
-            a += [i] * len(near)
-            b += near.tolist()
-    ids = group.column("id").combine_chunks()
-    return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
-
-
-def _cells(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs left to compare in bands that hold several components."""
+        for k in np.unique(label[near], return_index=True)[1].tolist():
+            a.append(i)
+            c.append(int(near[k]))
+    take = lambda name, at: group.column(name).combine_chunks().take(pa.array(at, pa.int64()))
+    return pa.table({"a": take("id", a), "c": take("label", c)})
+
+
+def _answered(percent: int):
+    """A link for each asking class that is similar to a member of the component, on full sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = np.array(group.column("asks"))
+        sets = list(_sets([t or "" for t in group.column("text").to_pylist()]))
+        sig = _signatures(group.column("sig").combine_chunks()).reshape(len(sets), -1)
+        size = np.array([len(s) for s in sets])
+        members = np.flatnonzero(~asks)
+        a, b = [], []
+        for i in np.flatnonzero(asks).tolist():
+            agree = (sig[members] == sig[i]).mean(axis=1)
+            least = LEAST_AGREEMENT_SMALL if size[i] < SMALL else LEAST_AGREEMENT
+            for k in np.argsort(-agree, kind="stable").tolist():
+                if agree[k] < least:
+                    break
+                if _similar(sets[i], sets[members[k]], percent):
+                    a.append(i)
+                    b.append(int(members[k]))
+                    break
+        ids = group.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    return run
+
+
+def _grid(own: str, mine: str, theirs: str, turned: bool):
+    """Cells of a grid of blocks that a row of block ``own`` belongs to, as (x, y)."""
+    x = F.pmod(F.xxhash64(own), F.col(mine)).cast("int")
+    cell = lambda y: F.struct((y if turned else x).alias("x"), (x if turned else y).alias("y"))
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col(theirs) - 1), cell)).alias("cell")
+
+
+def _blocks(n: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+
+
+def _questions(members: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """(a, c): classes and components of their bands that they may be linked to but aren't yet."""
     per_band = members.groupBy("band").agg(
         F.sum(F.col("out").cast("long")).alias("n_out"), F.sum((~F.col("out")).cast("long")).alias("n_in")
-    ).where("n_out > 0 and n_out + n_in > 2")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = (
-        members.join(per_band, "band").where(F.col("out") | (F.col("id") != F.col("leader")))
-        .withColumn("outs", F.greatest(blocks("n_out"), F.lit(1))).withColumn("ins", blocks("n_in"))
-    )
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("outs")).otherwise(F.greatest("ins", F.lit(1)))).cast("int")
-    rows = rows.withColumn("own", own)
-    cell = lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.alias("x"), y.alias("y"))
-    to_in = F.when(
-        F.col("ins") > 0, F.transform(F.sequence(F.lit(0), F.col("ins") - 1), lambda j: cell("oi", F.col("own"), j))
-    ).otherwise(F.array().cast("array<struct<kind:string,x:int,y:int>>"))
-    to_out = F.transform(
+    ).where("n_out > 0 and n_out + n_in > 2").withColumn("outs", _blocks("n_out")).withColumn("ins", _blocks("n_in"))
+    rows = members.join(per_band, "band").select("band", "id", "out", "label", "outs", "ins")
+    named = lambda k, rows: rows.select(F.lit(k).alias("kind"), "band", "id", "out", "label", "cell.*")
+    outs = rows.where("out").withColumn("own", F.pmod(F.xxhash64("id"), F.col("outs")).cast("int"))
+    pairs = F.transform(
         F.sequence(F.lit(0), F.col("outs") - 1),
-        lambda j: cell("oo", F.least(F.col("own"), j), F.greatest(F.col("own"), j)),
+        lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")),
     )
-    from_in = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda i: cell("oi", i, F.col("own")))
-    cells = F.explode(F.when(F.col("out"), F.concat(to_in, to_out)).otherwise(from_in)).alias("cell")
-    dealt = rows.select("band", "id", "out", "label", cells).select("band", "id", "out", "label", "cell.*")
+    dealt = named("oo", outs.select("*", F.explode(pairs).alias("cell")))
+    dealt = dealt.unionByName(named("oi", rows.where("out").select("*", _grid("id", "outs", "ins", False))))
+    dealt = dealt.unionByName(named("oi", rows.where("not out").select("*", _grid("id", "ins", "outs", True))))
     dealt = dealt.join(classes, "id")
-    return dealt.groupBy("band", "kind", "x", "y").applyInArrow(_across, f"a {kind}, b {kind}").distinct()
+    asked = dealt.groupBy("kind", "band", "x", "y").applyInArrow(_asked, f"a {kind}, c {kind}")
+    return materialize(asked.distinct(), "questions")
+
+
+def _answers(questions: DataFrame, held: DataFrame, labelled: DataFrame, classes: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) of asking classes with members of the components they ask about."""
+    size = labelled.join(questions.select("c").distinct(), labelled["label"] == F.col("c"), "left_semi")
+    size = size.groupBy("label").agg(F.count("*").alias("n_in")).withColumnRenamed("label", "c")
+    counts = questions.groupBy("c").agg(F.count("*").alias("n_q")).join(size, "c")
+    counts = materialize(counts.withColumn("asking", _blocks("n_q")).withColumn("held", _blocks("n_in")), "counts")
+    asks = questions.withColumnRenamed("a", "id").join(counts, "c").select(
+        "c", "id", F.lit(True).alias("asks"), _grid("id", "asking", "held", False)
+    )
+    members = labelled.withColumnRenamed("label", "c").join(counts, "c").select(
+        "c", "id", F.lit(False).alias("asks"), _grid("id", "held", "asking", True)
+    )
+    rows = asks.unionByName(members).select("c", "id", "asks", "cell.*").join(held, "id").join(classes.drop("n"), "id")
+    return materialize(rows.groupBy("c", "x", "y").applyInArrow(_answered(percent), f"a {kind}, b {kind}"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -226,8 +267,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "band", "id", "leader", F.coalesce("label", "id").alias("label"),
         (F.coalesce("label", "id") != F.coalesce("theirs", "leader")).alias("out"),
     )
-    second = materialize(_cells(materialize(named, "members"), classes, kind), "pairs")
-    found = _linked(second, held, percent)
+    questions = _questions(materialize(named, "members"), classes, kind)
+    labelled = held.select("id").join(by("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    found = _answers(questions, held, materialize(labelled, "labelled"), classes, percent, kind)
     between = found.join(by("a", "x"), "a", "left").join(by("b", "y"), "b", "left").select(
         F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")
     )
