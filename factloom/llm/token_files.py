@@ -41,12 +41,14 @@ HELD = 0.9
 SHARD_IDS = 1 << 20
 CACHE_ENTRIES = 500_000
 CACHE_CHARS = 64
+#: Words that go through the tokenizer as one text.
+WORDS_TOGETHER = 256
 _MAGIC = b"PFR1"
 #: str.split() also cuts at these; the tokenizer doesn't.
-_CONTROL = regex.compile("[\x1c-\x1f]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: What a word can be made of here; a chunk with anything else goes through the tokenizer as it is.
 _PLAIN = regex.compile("[!-~¡-ſ]+")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_WORD_OR_BREAK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 
 
 def _lengths(values: np.ndarray) -> np.ndarray:
@@ -120,6 +122,9 @@ class Encoder:
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.by_word: dict[str, bytes] = {}
 
@@ -127,14 +132,29 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words; many go through the tokenizer as one text, cut after each id that ends a word."""
+        groups = [words[k : k + WORDS_TOGETHER] for k in range(0, len(words), WORDS_TOGETHER)]
+        out = []
+        for group, raw in zip(groups, self._direct([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1).tolist()
+            if len(ends) == len(group):
+                out += [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+            else:
+                out += self._direct(group)
+        return out
+
     def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks between white space; words of Latin letters are encoded once each."""
-        plain = [(c, _WORD.findall(c.lower())) for c in chunks if _PLAIN.fullmatch(c)]
-        other = [c for c in chunks if not _PLAIN.fullmatch(c)]
-        known = self.by_word
-        missing = list({w for _, words in plain for w in words if w not in known})
-        made = dict(zip(missing, self._direct(missing))) if missing else {}
-        out = {c: b"".join([known.get(w) or made[w] for w in words]) for c, words in plain}
+        plain, other = [], []
+        for c in chunks:
+            (plain if _PLAIN.fullmatch(c) else other).append(c)
+        # a line break keeps the chunks apart, so one search cuts them all
+        cut = iter(_WORD_OR_BREAK.findall("\n".join([c.lower() for c in plain]) + "\n"))
+        known, pieces = self.by_word, [list(iter(cut.__next__, "\n")) for _ in plain]
+        missing = list({w for words in pieces for w in words if w not in known})
+        made = dict(zip(missing, self._words(missing))) if missing else {}
+        out = {c: b"".join([known.get(w) or made[w] for w in words]) for c, words in zip(plain, pieces)}
         out.update(zip(other, self._direct(other)) if other else ())
         _keep(known, made)
         return out
@@ -146,7 +166,7 @@ class Encoder:
         """
         known, cut, missing = self.known, [], set()
         for text in texts:
-            chunks = text.split() if not _CONTROL.search(text) else None
+            chunks = None if any(c in text for c in _CONTROLS) else text.split()
             ids = list(map(known.get, chunks)) if chunks is not None else None
             if ids and None in ids:
                 missing.update([c for c, x in zip(chunks, ids) if x is None])
