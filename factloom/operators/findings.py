@@ -97,15 +97,35 @@ def reference_groups(index: DataFrame) -> DataFrame:
 def comparable_events(active: DataFrame) -> DataFrame:
     """Reference index restricted to references that two documents share, with group facts attached."""
     index = reference_index(active)
-    groups = reference_groups(index)
-    heavy = skew.heavy_keys(groups, GROUP, "group_size", skew.ROWS_PER_BLOCK)
-    return skew.salted_join(index, groups, GROUP, heavy, ["event_id"])
+    return index.join(reference_groups(index), GROUP)
 
 
-def _pairs(members: DataFrame, keys: list[str], classes: list[str], differ: Column, small_group: int) -> DataFrame:
+def event_pair_counts(members: DataFrame) -> DataFrame:
+    """How many pairs of events of two documents share a reference, by their two types.
+
+    Counted from the events of each type in each document; no pair is built.
+    """
+    in_doc = members.groupBy(*GROUP, "evidence_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    in_ref = in_doc.groupBy(*GROUP, "event_type").agg(F.sum("n").alias("n"))
+
+    def products(counts: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = skew.prefixed(counts, "a_", keys), skew.prefixed(counts, "b_", keys)
+        both = a.join(b, keys).where("a_event_type <= b_event_type")
+        # of n events of one type, n * (n - 1) / 2 pairs
+        value = F.when(F.col("a_event_type") == F.col("b_event_type"), F.col("a_n") * (F.col("a_n") - 1) / 2)
+        value = value.otherwise(F.col("a_n") * F.col("b_n")).cast("long")
+        types = [F.col("a_event_type").alias("type_a"), F.col("b_event_type").alias("type_b")]
+        return both.select(*GROUP, *types, value.alias("pairs"))
+
+    inside = products(in_doc, [*GROUP, "evidence_id"]).withColumn("pairs", -F.col("pairs"))
+    total = products(in_ref, GROUP).unionByName(inside)
+    return total.groupBy(*GROUP, "type_a", "type_b").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+
+
+def _pairs(members: DataFrame, keys: list[str], classes: list[str], differ: Column, block: int) -> DataFrame:
     other_document = F.col("a_evidence_id") != F.col("b_evidence_id")
     return skew.discordant_pairs(
-        members, keys, classes, differ, other_document, "ord", "group_size", small_group
+        members, keys, classes, differ, other_document, "ord", block
     )
 
 
@@ -200,10 +220,10 @@ def _is_uncertain() -> Column:
 _VERIFY = "but extraction certainty is flagged for review. Manual verification is advised before evaluating inconsistency."
 
 
-def currency_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def currency_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Amounts on one reference stated in different currencies."""
     stated = members.where(F.col("amount_value").isNotNull() & (F.col("currency") != ""))
-    p = _pairs(stated, GROUP, ["currency"], F.col("a_currency") != F.col("b_currency"), small_group)
+    p = _pairs(stated, GROUP, ["currency"], F.col("a_currency") != F.col("b_currency"), block)
     ref = F.col("a_display_ref")
     value = lambda s: F.concat_ws(" ", F.col(f"{s}_currency"), refs.money_text(F.col(f"{s}_amount_value")))
     return _flat_pair(
@@ -219,7 +239,7 @@ def currency_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) ->
     )
 
 
-def amount_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def amount_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Amounts on one reference that differ by more than 0.01 in the same or an unstated currency."""
     stated = members.where(F.col("amount_value").isNotNull())
     comparable = (
@@ -227,7 +247,7 @@ def amount_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> D
     )
     gap = F.abs(F.col("a_amount_value") - F.col("b_amount_value"))
     differ = comparable & (gap > F.lit(rules.AMOUNT_TOLERANCE).cast("decimal(4,2)"))
-    p = _pairs(stated, GROUP, ["currency", "amount_value"], differ, small_group)
+    p = _pairs(stated, GROUP, ["currency", "amount_value"], differ, block)
     symbol = F.coalesce(
         refs.blank_to_null(F.col("a_currency")), refs.blank_to_null(F.col("b_currency")), F.lit("$")
     )
@@ -261,12 +281,12 @@ def amount_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> D
     )
 
 
-def polarity_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def polarity_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """One document asserts a milestone, another negates it."""
     stated = members.where(F.coalesce("polarity", F.lit("")) != "")
     p = _once_per_pair(
         _pairs(
-            stated, [*GROUP, "event_type"], ["polarity"], F.col("a_polarity") != F.col("b_polarity"), small_group
+            stated, [*GROUP, "event_type"], ["polarity"], F.col("a_polarity") != F.col("b_polarity"), block
         )
         .withColumn("a_event_type", F.col("event_type"))
         .drop("event_type")
@@ -297,7 +317,7 @@ def polarity_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) ->
     )
 
 
-def outcome_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def outcome_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Success and failure of the same settlement; a failure before a success is a probable retry."""
     domain = F.coalesce(
         *[F.when(F.col("event_type").isin(*pair), label) for label, pair in rules.EXCLUSIVE_OUTCOMES.items()]
@@ -305,7 +325,7 @@ def outcome_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) ->
     stated = members.withColumn("domain", domain).where(F.col("domain").isNotNull())
     p = _once_per_pair(
         _pairs(
-            stated, [*GROUP, "domain"], ["event_type"], F.col("a_event_type") != F.col("b_event_type"), small_group
+            stated, [*GROUP, "domain"], ["event_type"], F.col("a_event_type") != F.col("b_event_type"), block
         )
     )
     a_failed = F.contains(F.col("a_event_type"), F.lit("FAILED"))
@@ -346,13 +366,13 @@ def outcome_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) ->
     )
 
 
-def date_findings(members: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def date_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """The same milestone stated with different date texts."""
     stated = members.withColumn("stated", F.trim(F.coalesce("temporal_information", F.lit("")))).where(
         F.col("stated") != ""
     )
     p = _once_per_pair(
-        _pairs(stated, [*GROUP, "event_type"], ["stated"], F.col("a_stated") != F.col("b_stated"), small_group)
+        _pairs(stated, [*GROUP, "event_type"], ["stated"], F.col("a_stated") != F.col("b_stated"), block)
     )
     parts = dict(
         ref=F.col("a_display_ref"), t=refs.title_words(F.col("event_type")),
@@ -406,14 +426,11 @@ def order_ref_divergence(active: DataFrame) -> DataFrame:
     )
 
 
-def order_ref_findings(active: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def order_ref_findings(active: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Document pairs of a case whose order references have nothing in common."""
     docs = document_reference_sets(active)
-    sizes = docs.groupBy("case_id").agg(F.count(F.lit(1)).alias("group_size"))
-    heavy = skew.heavy_keys(sizes, ["case_id"], "group_size", skew.ROWS_PER_BLOCK)
-    sized = skew.salted_join(docs, sizes, ["case_id"], heavy, ["evidence_id"])
     p = skew.discordant_pairs(
-        sized, ["case_id"], ["ref_set"], _disjoint(), F.lit(True), "ord", "group_size", small_group
+        docs, ["case_id"], ["ref_set"], _disjoint(), F.lit(True), "ord", block
     )
     a_ref, b_ref = F.element_at("a_ref_set", 1), F.element_at("b_ref_set", 1)
     parts = dict(ra=a_ref, rb=b_ref, sa=F.col("a_source_name"), sb=F.col("b_source_name"))
@@ -505,9 +522,7 @@ def missing_corroboration(active: DataFrame, outgoing_types: list[str] | None =
         F.min("evidence_id").alias("_lo"), F.max("evidence_id").alias("_hi")
     )
     out = ev.where(F.col("event_type").isin(*(outgoing_types or rules.OUTGOING_TYPES)))
-    sizes = out.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = skew.heavy_keys(sizes, GROUP, "_n", skew.ROWS_PER_BLOCK)
-    matched = skew.salted_join(out, confirmed, GROUP, heavy, ["event_id"], "left")
+    matched = out.join(confirmed, GROUP, "left")
     elsewhere = (F.col("_lo") != F.col("evidence_id")) | (F.col("_hi") != F.col("evidence_id"))
     lonely = matched.where(~F.coalesce(elsewhere, F.lit(False)))
     shown = F.trim(
@@ -570,15 +585,9 @@ def _inversions(early: DataFrame, late: DataFrame, keys: list[str], distinct_doc
         .join(late.groupBy(*keys).agg(F.min("at").alias("_min_late")), keys)
         .where(F.col("_min_late") < F.col("_max_early"))
     )
-    counts = early.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = skew.heavy_keys(counts, keys, "_n", skew.PAIR_BLOCK * 10)
-    late_counts = late.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    late_heavy = skew.heavy_keys(late_counts, keys, "_n", skew.PAIR_BLOCK * 10)
-    e = skew.salted_join(early, bounds, keys, heavy, ["event_id"]).where(F.col("at") > F.col("_min_late"))
-    l = skew.salted_join(late, bounds, keys, late_heavy, ["event_id"]).where(F.col("at") < F.col("_max_early"))
-    a = skew.prefixed(e.drop("_min_late", "_max_early"), "a_", keys)
-    b = skew.prefixed(l.drop("_min_late", "_max_early"), "b_", keys)
-    met = skew.salted_join(a, b, keys, heavy, ["a_event_id"]).where(F.col("b_at") < F.col("a_at"))
+    a = skew.prefixed(early.join(bounds, keys).where(F.col("at") > F.col("_min_late")).drop("_min_late", "_max_early"), "a_", keys)
+    b = skew.prefixed(late.join(bounds, keys).where(F.col("at") < F.col("_max_early")).drop("_min_late", "_max_early"), "b_", keys)
+    met = skew.grid_join(a, b, keys, "a_event_id", "b_event_id", skew.PAIR_BLOCK * 10).where(F.col("b_at") < F.col("a_at"))
     return met.where(F.col("a_evidence_id") != F.col("b_evidence_id")) if distinct_documents else met
 
 
@@ -742,26 +751,26 @@ def severity_rank(severity: Column) -> Column:
     )
 
 
-def all_findings(evidence: DataFrame, events: DataFrame, small_group: int = skew.PAIR_BLOCK) -> DataFrame:
+def all_findings(evidence: DataFrame, events: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Findings from the stored tables. Active events and the reference index feed
     several detectors each, so both are written once and read back."""
     active = materialize(active_events(events, evidence), "active")
     members = materialize(comparable_events(active), "members")
-    return union_findings(evidence, active, members, small_group)
+    return union_findings(evidence, active, members, block)
 
 
 def union_findings(
-    evidence: DataFrame, active: DataFrame, members: DataFrame, small_group: int = skew.PAIR_BLOCK
+    evidence: DataFrame, active: DataFrame, members: DataFrame, block: int = skew.PAIR_BLOCK
 ) -> DataFrame:
     """Union of every detector, one row per finding id."""
     parts = [
         zero_event_findings(evidence, active),
-        currency_findings(members, small_group),
-        amount_findings(members, small_group),
-        polarity_findings(members, small_group),
-        outcome_findings(members, small_group),
-        date_findings(members, small_group),
-        order_ref_findings(active, small_group),
+        currency_findings(members, block),
+        amount_findings(members, block),
+        polarity_findings(members, block),
+        outcome_findings(members, block),
+        date_findings(members, block),
+        order_ref_findings(active, block),
         missing_corroboration(active),
         temporal_findings(active),
     ]
@@ -787,12 +796,12 @@ def attach_reviews(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def case_findings(
     cases: DataFrame, evidence: DataFrame, events: DataFrame, reviews: DataFrame | None = None,
-    small_group: int = skew.PAIR_BLOCK, ordered: bool = True,
+    block: int = skew.PAIR_BLOCK, ordered: bool = True,
 ) -> DataFrame:
     """Findings of the given cases with review state, severe ones first within a case."""
     owned = cases.select("case_id", "user_id")
     mine = evidence.join(owned, ["case_id", "user_id"], "left_semi")
-    found = all_findings(mine, events, small_group)
+    found = all_findings(mine, events, block)
     if reviews is not None:
         found = attach_reviews(found, reviews)
     out = found.withColumn("severity_rank", severity_rank(F.col("severity")))

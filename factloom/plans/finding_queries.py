@@ -18,11 +18,11 @@ SHOWN = [
 
 
 def active(spark, sf) -> DataFrame:
-    return ct.stored(spark, sf, "active", lambda s, p: versions.active_events(ct.events(s, p), ct.evidence(s, p)))
+    return versions.active_events(ct.events(spark, sf), ct.evidence(spark, sf))
 
 
 def members(spark, sf) -> DataFrame:
-    return ct.stored(spark, sf, "members", lambda s, p: findings.comparable_events(active(s, p)))
+    return findings.comparable_events(active(spark, sf))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -319,11 +319,8 @@ def register(add) -> None:
     add("reference_groups", lambda s, p: findings.reference_groups(findings.reference_index(active(s, p))).select(
         "case_id", "ref_key", "group_size", "display_ref"),
         sql("SELECT case_id, ref_key, group_size, display_ref FROM grp", REFX))
-    add("event_pairs", lambda s, p: findings.skew.unordered_pairs(
-        members(s, p).where(F.col("amount_value").isNotNull()).select(*findings.GROUP, "ord", "event_id", "evidence_id", "amount_value"), findings.GROUP, "ord",
-        (F.col("a_evidence_id") != F.col("b_evidence_id")) & (F.col("a_amount_value") == F.col("b_amount_value"))).select(
-        "case_id", "ref_key", F.col("a_event_id").alias("event_a"), F.col("b_event_id").alias("event_b")),
-        sql("SELECT case_id, ref_key, ea AS event_a, eb AS event_b FROM pr WHERE va=vb", REFX))
+    add("event_pairs", lambda s, p: findings.event_pair_counts(members(s, p)),
+        sql("""SELECT case_id, ref_key, least(ta,tb) AS type_a, greatest(ta,tb) AS type_b, count(*) AS pairs FROM pr GROUP BY ALL""", REFX))
     for name, fn, text in [
         ("currency_findings", findings.currency_findings, CURRENCY_SQL),
         ("amount_findings", findings.amount_findings, AMOUNT_SQL),
