@@ -31,6 +31,10 @@ def coalesced_reference(order_ref: Column, txn_ref: Column) -> Column:
 def explicit_timestamp(stated: Column) -> Column:
     """ISO date or date-time only (naive means UTC); anything else is NULL, never the ingest time."""
     iso = F.regexp_replace(F.trim(stated), "Z", "+00:00")
+    # the short ISO forms: 20260105, T10, +0530
+    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"([T ]\d{2})(?=$|[+-])", "$1:00")
+    iso = F.regexp_replace(iso, r"([T ].*[+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(iso.rlike(ISO_STAMP), F.try_to_timestamp(iso))
 
 
