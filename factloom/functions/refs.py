@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ ISO_STAMP = (
 )
 
 
+#: Decimal digits of all scripts in the basic plane but ASCII, and what they stand for.
+_DIGITS = [chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd"]
+_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def ascii_digits(c: Column) -> Column:
+    """Digits of any script as 0-9; text without such digits isn't searched for them."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.translate(c, "".join(_DIGITS), _DIGIT_VALUES))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -31,9 +43,10 @@ def coalesced_reference(order_ref: Column, txn_ref: Column) -> Column:
 def explicit_timestamp(stated: Column) -> Column:
     """ISO date or date-time only (naive means UTC); anything else is NULL, never the ingest time."""
     iso = F.regexp_replace(F.trim(stated), "Z", "+00:00")
-    # the short ISO forms: 20260105, T10, +0530
+    # the short ISO forms: 20260105, T10, T10:30, +0530
     iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"([T ]\d{2})(?=$|[+-])", "$1:00")
+    iso = F.regexp_replace(iso, r"([T ]\d{2}:\d{2})(?=$|[+-])", "$1:00")
     iso = F.regexp_replace(iso, r"([T ].*[+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(iso.rlike(ISO_STAMP), F.try_to_timestamp(iso))
 

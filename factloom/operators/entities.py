@@ -60,8 +60,8 @@ ETYPE = {
 GATES = {
     "email": "@", "url": "://", "time": ":", "speaker": ":",
     "address": r"~(?i)(?:street|st|road|rd|avenue|ave|lane|ln|nagar|colony|sector)",
-    "utr": "~(?i)utr", "txn_ocr": "~(?i)txn", "phone": r"~\d", "money_prefix": r"~\d", "money_suffix": r"~\d",
-    "date_iso": r"~\d", "date_month_first": r"~\d", "date_day_first": r"~\d", "date_numeric": r"~\d",
+    "utr": "~(?i)utr", "txn_ocr": "~(?i)txn", "phone": r"~(?U)\d", "money_prefix": r"~(?U)\d", "money_suffix": r"~(?U)\d",
+    "date_iso": r"~(?U)\d", "date_month_first": r"~(?U)\d", "date_day_first": r"~(?U)\d", "date_numeric": r"~(?U)\d",
     "invoice": "~(?i)(?:inv|bill)", "refund": "~(?i)(?:rfd|ref|ret)", "order": "~(?i)(?:ord|od|po)",
     "txn": "~(?i)(?:txn|trx|utr|upi|trans|pay)",
 }
@@ -304,7 +304,7 @@ def normalize_money(raw: Column) -> Column:
     cur = F.lower(F.trim(F.regexp_extract(raw, rf"(?i)({_CUR})", 1)))
     code = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.CURRENCIES.items() for x in kv]), cur)
     number = F.regexp_extract(raw, rf"(?U)((?:{_NUM}))(?=\s*(?i:{_CUR})?$)", 1)
-    digits = F.translate(number, ", ", "")
+    digits = refs.ascii_digits(F.translate(number, ", ", ""))
     return F.struct(
         F.coalesce(digits.try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")).alias("value"),
         F.coalesce(code, F.lit("USD")).alias("currency"),
@@ -313,9 +313,9 @@ def normalize_money(raw: Column) -> Column:
 
 def normalize_phone(raw: Column, country: Column) -> Column:
     """E.164 from an explicit prefix or a known country; otherwise UNKNOWN."""
-    digits = F.regexp_replace(raw, r"(?U)\D", "")
+    digits = refs.ascii_digits(F.regexp_replace(raw, r"(?U)\D", ""))
     intl = refs.blank_to_null(
-        F.regexp_extract(raw, r"(?U)^\+(\d{1,3})[\s\-]?(?:\(?\d{2,4}\)?[\s\-]?)?\d{3,5}[\s\-]?\d{3,5}$", 1)
+        refs.ascii_digits(F.regexp_extract(raw, r"(?U)^\+(\d{1,3})[\s\-]?(?:\(?\d{2,4}\)?[\s\-]?)?\d{3,5}[\s\-]?\d{3,5}$", 1))
     )
     local = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.COUNTRY_PREFIX.items() for x in kv]), country)
     grounded = local.isNotNull() & (F.length(digits) == 10)

@@ -173,7 +173,7 @@ def recover_stale(
 
 def request_retry(evidence: DataFrame, requests: DataFrame) -> DataFrame:
     """Answer retry requests(case_id, user_id, evidence_id): queued, refused or not found."""
-    docs = evidence.select(*DOC, "status", "retry_count")
+    docs = evidence.select(*DOC, "status", "retry_count", "error_code")
     ok = F.col("status").isin(*rules.RETRYABLE_STATUSES)
     found = F.col("status").isNotNull()
     return requests.join(docs, DOC, "left").select(
@@ -181,6 +181,7 @@ def request_retry(evidence: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(~found, "NOT_FOUND").when(ok, "ACCEPTED").otherwise("REFUSED").alias("outcome"),
         F.when(ok, "QUEUED").otherwise(F.col("status")).alias("status"),
         F.when(ok, F.coalesce("retry_count", F.lit(0)) + 1).otherwise(F.col("retry_count")).alias("retry_count"),
+        F.when(~ok, F.col("error_code")).alias("error_code"),
         F.when(found & ~ok, F.concat(F.lit("Cannot retry evidence with status '"), F.col("status"), F.lit("'"))).alias(
             "reason"
         ),

@@ -184,12 +184,12 @@ NORMALIZE_SQL = f"""WITH {PROSE} SELECT evidence_id AS text_id, md5(text||'!'||c
 
 def _raw_spans(s, p):
     t = prose(s, p).select(F.col("evidence_id").alias("text_id"), F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("text"), F.length("text").alias("n"))
-    sp = t.where(F.col("n") >= 10).select("text_id", (F.col("n") / 2).cast("int").alias("norm_start"), F.col("n").alias("norm_end"))
+    sp = t.select("text_id", (F.col("n") / 2).cast("int").alias("norm_start"), F.col("n").alias("norm_end"))
     return text.map_span_to_raw(sp, t).select("text_id", "norm_start", "norm_end", "raw_start", "raw_end")
 
 
 RAW_SPAN_SQL = f"""WITH {PROSE} SELECT evidence_id AS text_id, length(text)//2 AS norm_start, length(text) AS norm_end,
-  length(replace(substr(text,1,length(text)//2),chr(10),chr(13)||chr(10))) AS raw_start, length(replace(text,chr(10),chr(13)||chr(10))) AS raw_end FROM prose WHERE length(text)>=10"""
+  length(replace(substr(text,1,length(text)//2),chr(10),chr(13)||chr(10))) AS raw_start, length(replace(text,chr(10),chr(13)||chr(10))) AS raw_end FROM prose"""
 
 
 def _quality(s, p):
