@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import display, refs
-from factloom.operators import evaluation, findings, graph, listing, reviews, versions
+from factloom.operators import curation, dossier, evaluation, findings, graph, listing, reviews, versions
 from factloom.plans import case_tables as ct
 from factloom.plans.case_tables import sql
 from factloom.plans.finding_queries import MISSING_SQL, active
@@ -230,9 +230,81 @@ def _graph(add) -> None:
           UNION ALL SELECT a.case_id, 'evt-'||a.event_id, 'evt-'||b.event_id, 'CHRONOLOGY' FROM tp a JOIN tp b ON a.case_id=b.case_id AND b.position=a.position+1""", TOP))
 
 
+def _decided(spark, sf):
+    found = findings.missing_corroboration(active(spark, sf))
+    return found, reviews.history(*_submissions(spark, sf))
+
+
+def _gaps(spark, sf):
+    rows = dossier.gaps(ct.cases(spark, sf), ct.evidence(spark, sf), findings.missing_corroboration(active(spark, sf)))
+    return rows.select("case_id", "gap_type", "description", "related_reference", F.array_join("affected_evidence_ids", ",").alias("affected"))
+
+
+def _summaries(spark, sf):
+    found, history = _decided(spark, sf)
+    decided = dossier.with_decisions(found, history)
+    return dossier.summaries(ct.cases(spark, sf), ct.evidence(spark, sf), ct.events(spark, sf), decided)
+
+
+def _dossiers(spark, sf):
+    found, history = _decided(spark, sf)
+    rows = dossier.build(ct.cases(spark, sf), ct.evidence(spark, sf), ct.events(spark, sf), found, history)
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return rows.select(
+        "case_id", "manifest_hash", n("document_inventory").alias("documents"), n("events_timeline").alias("events"),
+        n("findings").alias("findings"), n("human_reviews").alias("reviews"),
+    )
+
+
+MANIFEST = "(SELECT case_id, sha256(case_id||'::'||strftime(any_value(case_t.created_at),'%Y-%m-%dT%H:%M:%S+00:00')||'::'||coalesce(string_agg(sha256_hash,'::' ORDER BY sha256_hash),'')) AS manifest_hash FROM case_t LEFT JOIN evi USING (case_id) GROUP BY 1)"
+PER_CASE = "LEFT JOIN (SELECT case_id, count(*) AS d FROM evi GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS e FROM evt GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS f FROM ms GROUP BY 1) USING (case_id)"
+
+
+def _dossier(add) -> None:
+    add("dossier_inventory", lambda s, p: dossier.inventory(ct.evidence(s, p)).withColumn("uploaded_at", _stamp(F.col("uploaded_at"))),
+        sql("SELECT case_id, evidence_id, original_filename, media_type, file_size_bytes, sha256_hash, status, strftime(created_at,'%Y-%m-%d %H:%M:%S') AS uploaded_at, active_processing_version FROM evi"))
+    add("dossier_timeline", lambda s, p: dossier.timeline(ct.events(s, p), ct.evidence(s, p)).select(
+        "case_id", "event_id", "source_document", "event_type", "amount_value", "polarity", "trigger_raw_text", "stated_event_date"),
+        sql("""SELECT e.case_id, event_id, d.original_filename AS source_document, event_type, CAST(amount_value AS DOUBLE) AS amount_value, polarity,
+          coalesce(trigger_raw_text,'') AS trigger_raw_text, temporal_information AS stated_event_date FROM evt e JOIN evi d USING (evidence_id)"""))
+    add("dossier_findings", lambda s, p: dossier.with_decisions(*_decided(s, p)).select(
+        "case_id", "finding_id", "adjudication_status", F.array_join(F.transform("review_history", lambda r: r["version"].cast("string")), ",").alias("versions")),
+        sql("SELECT case_id, finding_id, 'DISMISSED' AS adjudication_status, string_agg(version, ',' ORDER BY version DESC) AS versions FROM hs GROUP BY ALL", HISTORY))
+    add("evidence_gaps", _gaps,
+        sql("""SELECT case_id, 'MISSING_CORROBORATION' AS gap_type, summary AS description, CASE WHEN contains(title,'(') THEN replace(split(title,'(')[-1],')','') END AS related_reference, evidence_a AS affected FROM ms
+          UNION ALL SELECT case_id, 'PROCESSING_ANOMALY', 'Evidence document '''||original_filename||''' is in state '||status||' and may contain incomplete extractions.', NULL, evidence_id
+            FROM evi WHERE status IN ('REVIEW_NEEDED','FAILED','INTERRUPTED')
+          UNION ALL SELECT case_id, 'DOCUMENT_UNAVAILABLE', 'No evidence documents have been uploaded to this case.', NULL, '' FROM case_t WHERE case_id NOT IN (SELECT case_id FROM evi)""", HISTORY))
+    add("executive_summaries", _summaries,
+        sql(f"""SELECT case_id, 'This dispute dossier compiles documentary evidence and cross-examination findings for Case '''||case_id||''' ('''||title||'''). The submitted record comprises '||coalesce(d,0)||' evidence document(s) yielding '||coalesce(e,0)||
+          ' verified event assertion(s). Automated reasoning identified '||coalesce(f,0)||' potential inconsistency or documentation advisory findings. Human review records indicate 0 confirmed inconsistency(ies), 0 resolved matter(s), '||coalesce(f,0)||
+          ' dismissed item(s), and 0 pending review. All citations refer to exact source document passages. This dossier organizes evidence and does not constitute a legal finding of fault or liability.' AS executive_summary
+          FROM case_t {PER_CASE}""", HISTORY))
+    add("manifest_hashes", lambda s, p: dossier.manifests(ct.cases(s, p), ct.evidence(s, p)), sql(f"SELECT * FROM {MANIFEST}"))
+    add("dossiers", _dossiers,
+        sql(f"SELECT case_id, manifest_hash, coalesce(d,0) AS documents, coalesce(e,0) AS events, coalesce(f,0) AS findings, 3*coalesce(f,0) AS reviews FROM case_t JOIN {MANIFEST} m USING (case_id) {PER_CASE}", HISTORY))
+
+
+def _curation(add) -> None:
+    part = F.element_at(F.array(*[F.lit(x) for x in curation.SPLITS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    add("exact_leakage", lambda s, p: curation.exact_leakage(ct.table(s, p, "documents").select(part.alias("split"), F.concat(F.lit(" "), F.upper("text")).alias("text"))),
+        """WITH k AS (SELECT DISTINCT CASE doc_id%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS s, lower(trim(' '||upper(text), ' ')) AS t FROM documents)
+        SELECT a.s AS split_a, b.s AS split_b, count(*) AS texts FROM k a JOIN k b ON a.t=b.t AND a.s<b.s GROUP BY ALL""")
+    labels = lambda s, p: ct.table(s, p, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"))
+    add("class_weights", lambda s, p: curation.class_weights(labels(s, p)).withColumn("weight", F.round("weight", 6)),
+        """WITH c AS (SELECT quality*2+toxic AS label, count(*) AS support FROM labels GROUP BY 1), w AS (SELECT *, sum(support) OVER ()/(count(*) OVER ()*support) AS w FROM c)
+        SELECT label, support, round(w/avg(w) OVER (), 6) AS weight FROM w""")
+    add("stratified_split", lambda s, p: curation.stratified_split(labels(s, p), "label", "doc_id").groupBy("label", "split").count(),
+        """WITH c AS (SELECT quality*2+toxic AS label, count(*) AS n FROM labels GROUP BY 1),
+        k AS (SELECT label, n, greatest(1, CAST(floor(n*0.7) AS BIGINT)) AS a, greatest(1, CAST(floor(n*0.15) AS BIGINT)) AS b FROM c)
+        SELECT label, split, count FROM (SELECT label, 'train' AS split, least(n, a) AS count FROM k UNION ALL SELECT label, 'val', least(greatest(n-a,0), b) FROM k UNION ALL SELECT label, 'test', n-a-b FROM k) WHERE count>0""")
+
+
 def register(add) -> None:
     _listings(add)
     _versions(add)
     _evaluation(add)
     _reviews(add)
     _graph(add)
+    _dossier(add)
+    _curation(add)
