@@ -9,6 +9,7 @@ from factloom.operators import curation, dossier, evaluation, findings, graph, l
 from factloom.plans import case_tables as ct
 from factloom.plans.case_tables import sql
 from factloom.plans.finding_queries import MISSING_SQL, active
+from factloom.sources import files
 
 NOW = "2024-01-02 00:00:00"
 
@@ -300,6 +301,26 @@ def _curation(add) -> None:
         SELECT label, split, count FROM (SELECT label, 'train' AS split, least(n, a) AS count FROM k UNION ALL SELECT label, 'val', least(greatest(n-a,0), b) FROM k UNION ALL SELECT label, 'test', n-a-b FROM k) WHERE count>0""")
 
 
+def _uploads(spark, sf):
+    """The bytes of every page as an upload; some get the head of a known format, some another name or type."""
+    n = F.col("page_id") % 9
+    head = F.when(n == 0, "25504446").when(n == 1, "89504E470D0A1A0A").when(n == 2, "FFD8FF").when(n == 3, "52494646").when(n == 4, "25504446").otherwise("")
+    content = F.when(n != 5, F.concat(F.unhex(head), F.col("html").cast("binary"))).otherwise(F.lit("").cast("binary"))
+    name = F.when(n == 6, ".pdf").when(n == 7, "page.exe").when(n == 2, "Page.JPG").otherwise("a.b/page.pdf")
+    kind = F.when(n == 2, "image/jpg; x=1").when(n == 4, "Image/PNG").when(n == 3, "application/octet-stream")
+    return ct.table(spark, sf, "pages").select("page_id", name.alias("filename"), kind.alias("declared_type"), content.alias("content"))
+
+
+def _sources(add) -> None:
+    add("checked_uploads", lambda s, p: files.checked_uploads(_uploads(s, p)).select("page_id", "media_type", "file_size_bytes", "sha256_hash", "reject_reason"),
+        """WITH u AS (SELECT page_id, page_id%9 AS n, CASE page_id%9 WHEN 0 THEN '\\x25PDF'::BLOB WHEN 4 THEN '\\x25PDF'::BLOB WHEN 1 THEN '\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB
+          WHEN 2 THEN '\\xFF\\xD8\\xFF'::BLOB WHEN 3 THEN 'RIFF'::BLOB ELSE ''::BLOB END AS head, encode(html) AS html FROM pages),
+        c AS (SELECT page_id, n, CASE WHEN n=5 THEN ''::BLOB ELSE head||html END AS content FROM u)
+        SELECT page_id, CASE n WHEN 0 THEN 'application/pdf' WHEN 4 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/webp' END AS media_type,
+          octet_length(content) AS file_size_bytes, sha256(content) AS sha256_hash,
+          CASE WHEN n IN (6,7) THEN 'UNSUPPORTED_EXTENSION' WHEN n=5 THEN 'EMPTY_FILE' WHEN n=4 THEN 'TYPE_MISMATCH' WHEN n=8 THEN 'UNKNOWN_SIGNATURE' END AS reject_reason FROM c""")
+
+
 def register(add) -> None:
     _listings(add)
     _versions(add)
@@ -308,3 +329,4 @@ def register(add) -> None:
     _graph(add)
     _dossier(add)
     _curation(add)
+    _sources(add)
