@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import display, refs
-from factloom.operators import curation, dossier, evaluation, findings, graph, listing, reviews, versions
+from factloom.operators import classifier, curation, dossier, evaluation, findings, graph, listing, reviews, versions
 from factloom.plans import case_tables as ct
 from factloom.plans.case_tables import sql
 from factloom.plans.finding_queries import MISSING_SQL, active
@@ -311,7 +312,18 @@ def _uploads(spark, sf):
     return ct.table(spark, sf, "pages").select("page_id", name.alias("filename"), kind.alias("declared_type"), content.alias("content"))
 
 
+def _languages(spark, sf):
+    """A classifier of the documents' languages, learned on a stratified part; its measures on the part for testing."""
+    docs = ct.table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    rows = session.materialize(curation.stratified_split(docs, "label", "doc_id"), "split")
+    part = lambda name: rows.where(F.col("split") == name).select("doc_id", "text", "label")
+    model = classifier.train_classifier(part("train"), part("val"))
+    tested = classifier.classify(model, part("test"))
+    return evaluation.per_class_metrics(tested.select(F.col("label").alias("gold"), "predicted"))
+
+
 def _sources(add) -> None:
+    add("classifier_metrics", _languages)
     add("checked_uploads", lambda s, p: files.checked_uploads(_uploads(s, p)).select("page_id", "media_type", "file_size_bytes", "sha256_hash", "reject_reason"),
         """WITH u AS (SELECT page_id, page_id%9 AS n, CASE page_id%9 WHEN 0 THEN '\\x25PDF'::BLOB WHEN 4 THEN '\\x25PDF'::BLOB WHEN 1 THEN '\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB
           WHEN 2 THEN '\\xFF\\xD8\\xFF'::BLOB WHEN 3 THEN 'RIFF'::BLOB ELSE ''::BLOB END AS head, encode(html) AS html FROM pages),

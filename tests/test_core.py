@@ -85,3 +85,18 @@ def test_graph_falls_back_to_the_case(spark):
         ("case-root", "doc-d1", "ASSOCIATION"), ("doc-d1", "evt-e1", "EXTRACTION"),
         ("case-root", "evt-e2", "EXTRACTION"), ("evt-e2", "evt-e1", "CHRONOLOGY"),
     }
+
+
+def test_classifier_and_stratified_split(spark):
+    from factloom.operators import classifier, curation
+
+    words = {"paid": "invoice payment settled card", "shipped": "parcel courier tracking sent", "other": "hello weather thanks note"}
+    rows = [(k, label, " ".join(f"{w} w{k % 7}" for w in text.split()[: 2 + k % 3])) for k, (label, text) in enumerate(list(words.items()) * 30)]
+    df = spark.createDataFrame(rows, "id long, label string, text string")
+    split = curation.stratified_split(df, "label", "id").cache()
+    counts = {(r.label, r.split): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert counts[("paid", "train")] == 21 and counts[("paid", "val")] == 4 and counts[("paid", "test")] == 5
+    part = lambda s: split.where(F.col("split") == s).select("id", "label", "text")
+    model = classifier.train_classifier(part("train"), part("val"))
+    got = classifier.classify(model, part("test").unionByName(spark.createDataFrame([(999, None, None)], "id long, label string, text string")))
+    assert got.where("label = predicted").count() == 15 and got.count() == 16
