@@ -288,8 +288,8 @@ def _dossier(add) -> None:
 
 
 def _curation(add) -> None:
-    part = F.element_at(F.array(*[F.lit(x) for x in curation.SPLITS]), (F.col("doc_id") % 3 + 1).cast("int"))
-    add("exact_leakage", lambda s, p: curation.exact_leakage(ct.table(s, p, "documents").select(part.alias("split"), F.concat(F.lit(" "), F.upper("text")).alias("text"))),
+    part = lambda: F.element_at(F.array(*[F.lit(x) for x in curation.SPLITS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    add("exact_leakage", lambda s, p: curation.exact_leakage(ct.table(s, p, "documents").select(part().alias("split"), F.concat(F.lit(" "), F.upper("text")).alias("text"))),
         """WITH k AS (SELECT DISTINCT CASE doc_id%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS s, lower(trim(' '||upper(text), ' ')) AS t FROM documents)
         SELECT a.s AS split_a, b.s AS split_b, count(*) AS texts FROM k a JOIN k b ON a.t=b.t AND a.s<b.s GROUP BY ALL""")
     labels = lambda s, p: ct.table(s, p, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"))
