@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tasks that add up; the driver gets one array from each.
-SLOTS = 16
+SLOTS = 4
 
 
 def merged(parts: DataFrame, length: int) -> np.ndarray:
