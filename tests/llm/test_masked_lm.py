@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,3 +63,34 @@ def test_nulls_repeats_and_empty_table(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 2, 3, 3]
     assert {(r.log_likelihood, r.mean_log_probability) for r in got if r.doc_id in (2, 3)} == {(0.0, None)}
     assert m.scores(docs.limit(0)).count() == 0
+
+
+def test_rare_words_are_scored_by_their_own_counts(spark):
+    rng = random.Random(4)
+    often = [f"f{k}" for k in range(800)]
+    rows = [(k, " ".join(rng.sample(often, 400)), "x") for k in range(20)]
+    rows += [(100 + k, " ".join(f"r{k}_{i}" for i in range(60) for _ in range(1 + i % 3)), "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = {r.doc_id: r for r in m.scores(docs).collect()}
+    known = m.vocabulary(docs)
+    network = m.train(docs, known)
+    n, held, buckets = Counter(), {}, Counter()
+    for _, text, _ in rows:
+        n.update(text.split())
+    for w, k in n.items():
+        b = int(known.ids(m.words.of_text(w))[0])
+        held[w] = b
+        if b >= known.n_frequent:
+            buckets[b] += k
+    assert max(n[w] for w, b in held.items() if b >= known.n_frequent) > 1
+    for k, text, _ in rows:
+        ids, at, counts, _ = known.framed([text])
+        total = network.log_probabilities(ids, at).astype(float).sum()
+        total += sum(np.log(n[w] / buckets[held[w]]) for w in text.split() if held[w] in buckets)
+        assert counts.tolist() == [got[k].n_tokens] and got[k].log_likelihood == pytest.approx(total, rel=1e-4)
+
+
+def test_the_model_follows_the_number_of_words():
+    assert m.side(25) == m.CLASSES < m.side(4_000_000) < m.side(100_000_000)
+    sizes = [m.Network.length(m.side(v) ** 2) for v in (10**5, 10**6, 10**7, 10**8)]
+    assert sizes == sorted(set(sizes))
