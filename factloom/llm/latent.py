@@ -12,9 +12,11 @@ its last sentence) and the text.
 The benchmark is worked off in blocks of ITEMS items, the only part of it that driver
 and tasks hold; the text of the documents is read once for each block, and everything
 after runs on word numbers (0 for words outside the benchmark). Words in more than a
-thousandth of the blocks are common and carry no weight. Items of common words only, as
-one is that stands in a third of all documents, are searched in a second space where
-common words count and axes aren't scaled, so what is frequent isn't lost.
+thousandth of the blocks are common and carry no weight. Items that this leaves few words
+are looked at again: what counts is how often a word stands outside their own copies, so
+an item in a third of all documents keeps its words, and the rule for what is a match.
+Such items are searched in a space whose axes aren't scaled, so what is frequent isn't
+lost. Items of words that are common elsewhere, too, have a space where all words count.
 
 Defined results: a null or empty text, or item, matches nothing; words are lower-cased
 in A-Z and cut at white space and ASCII punctuation; repeated rows are reported each,
@@ -48,7 +50,7 @@ FEW = 50
 LEAST_COSINE, LEAST_COSINE_COMMON = 0.4, 0.6
 #: Shares of an item's words of weight, in order, that make a copy; and a paraphrase, if the answer's are there too.
 COPY, PARAPHRASE, ANSWER = 0.6, 0.4, 0.75
-#: With fewer words that aren't common, all words of an item count, and this share makes a copy.
+#: With fewer words that aren't common outside the item's copies, all words of an item count, and this share makes a copy.
 LEAST_CONTENT, PLAIN_COPY = 6, 0.8
 #: Words of an answer that isn't given: a shorter last sentence is extended to the left.
 LEAST_ANSWER = 6
@@ -187,26 +189,77 @@ def word_counts(numbered: DataFrame, n_words: int, dtype: str) -> np.ndarray:
     return _total(numbered, (n_words + 1,), add)
 
 
-def groups(bench: Benchmark, counts: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, bool]]:
-    """(items, word weights, whether the items are of common words): the searches that a block of items needs.
-
-    Weights are inverse document frequencies over blocks of words.
-    """
+def weights(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies of words over blocks, and which words aren't common."""
     n, df = counts[0], counts.copy()
     df[0] = n
-    idf = np.maximum(np.log((1 + n) / (1 + df)), 0.1)
     rare = df <= max(COMMON * n, FEW)
     rare[0] = False
+    return np.maximum(np.log((1 + n) / (1 + df)), 0.1), rare
+
+
+def outside_copies(numbered: DataFrame, bench: Benchmark, held: list[int], counts: np.ndarray, dtype: str) -> np.ndarray:
+    """``counts`` without the blocks where a word stands in a copy of one of the held items that have it.
+
+    A copy is a block that has half a block's words (or half of a shorter item's) in the item's order, with
+    the blocks beside it.
+    """
+    held = [k for k in held if len(bench.items[k]) >= LEAST_CONTENT]
+    if not held:
+        return counts
+    shared = numbered.sparkSession.sparkContext.broadcast([bench.items[k] for k in held])
+
+    def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        used = np.zeros(len(total), np.float32)
+        used[np.concatenate(shared.value)] = 1
+        blocks = _Blocks(_rows(batch, dtype), used)
+        inside = [np.zeros(0, np.int64)]
+        edges = np.searchsorted(blocks.block, np.arange(blocks.first[-1] + 1))
+        for at in range(0, len(shared.value), 128):
+            items = shared.value[at : at + 128]
+            has = np.zeros((len(total), len(items)), np.float32)
+            for k, item in enumerate(items):
+                has[item, k] = 1
+            least = np.array([min(BLOCK, len(i)) / 2 for i in items])
+            near = blocks.sums(has) >= least
+            for k in np.flatnonzero(near.any(axis=0)).tolist():
+                known = masks(items[k])
+                for b in np.flatnonzero(near[:, k]).tolist():
+                    if common_subsequence(known, blocks.word[edges[b] : edges[b + 1]].tolist()) >= least[k]:
+                        d = blocks.doc[b]
+                        a, z = max(b - 1, blocks.first[d]), min(b + 2, blocks.first[d + 1])
+                        rows = slice(edges[a], edges[z])
+                        own = has[blocks.word[rows], k] > 0
+                        inside.append(blocks.block[rows][own] * len(total) + blocks.word[rows][own])
+        total += np.bincount(np.unique(np.concatenate(inside)) % len(total), minlength=len(total))
+
+    return counts - _total(numbered, counts.shape, add)
+
+
+def groups(bench: Benchmark, counts: np.ndarray, recounted) -> Iterator[tuple[list[int], np.ndarray, bool, bool]]:
+    """(items, word weights, whether all words count, whether axes are scaled): the searches that a block of items needs.
+
+    ``recounted`` gives the counts outside copies of the items that have few rare words.
+    """
+    idf, rare = weights(counts)
     content = [int(rare[i].sum()) for i in bench.items]
     first = [k for k, c in enumerate(content) if c >= LEAST_CONTENT]
     second = [k for k, c in enumerate(content) if c < LEAST_CONTENT and len(bench.items[k])]
     if first:
-        yield first, np.where(rare, idf, 0.0), False
+        yield first, np.where(rare, idf, 0.0), False, True
     if second:
-        held = np.zeros(len(df), bool)
-        for k in second:
-            held[sorted(set(bench.items[k].tolist()), key=lambda w: (df[w], w))[:RAREST]] = True
-        yield second, np.where(held, idf, 0.0), True
+        own_idf, own_rare = weights(recounted(second))
+        repeated = [k for k in second if own_rare[bench.items[k]].sum() >= LEAST_CONTENT]
+        if repeated:
+            held = np.zeros(len(counts), bool)
+            held[np.concatenate([bench.items[k] for k in repeated])] = True
+            yield repeated, np.where(held & own_rare, own_idf, 0.0), False, False
+        plain = [k for k in second if own_rare[bench.items[k]].sum() < LEAST_CONTENT]
+        if plain:
+            held = np.zeros(len(counts), bool)
+            for k in plain:
+                held[sorted(set(bench.items[k].tolist()), key=lambda w: (counts[w], w))[:RAREST]] = True
+            yield plain, np.where(held, idf, 0.0), True, False
 
 
 def latent_space(numbered: DataFrame, weight: np.ndarray, dtype: str, scaled: bool, seed: int = 2) -> np.ndarray:
@@ -310,9 +363,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             continue
         dtype = "<u2" if n < 65_535 else "<u4"
         numbered = materialize(_numbered(docs, bench, dtype), "numbered")
-        for held, weight, common in groups(bench, word_counts(numbered, n, dtype)):
-            vectors = latent_space(numbered, weight, dtype, not common)
-            shared = spark.sparkContext.broadcast(Search(bench, held, vectors, weight, common))
+        counts = word_counts(numbered, n, dtype)
+        again = lambda held, now=(numbered, bench, counts, dtype): outside_copies(*now[:2], held, *now[2:])
+        for held, weight, plain, scaled in groups(bench, counts, again):
+            vectors = latent_space(numbered, weight, dtype, scaled)
+            shared = spark.sparkContext.broadcast(Search(bench, held, vectors, weight, plain))
 
             def run(it: Iterator[pa.RecordBatch], shared=shared, dtype=dtype) -> Iterator[pa.RecordBatch]:
                 search = shared.value

@@ -78,3 +78,13 @@ def test_nulls_empty_and_repeats(spark):
     assert {r.doc_id for r in latent.clean(d, b).collect()} == {None, 2, 3}
     assert latent.contaminated(d.limit(0), b).count() == 0
     assert latent.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_changed_copies_of_an_item_in_every_document(spark):
+    docs, items, _ = corpus()
+    rng = random.Random(5)
+    item = WORDS[:36]
+    docs = [(k, t + " " + " ".join(w if i % 4 != k % 4 else rng.choice(WORDS) for i, w in enumerate(item))) for k, t in docs]
+    d, b = frames(spark, docs, [*items, (7, " ".join(item))])
+    got = {(r.doc_id, r.item_id) for r in latent.contaminated(d, b).collect()}
+    assert {(k, 7) for k, _ in docs} <= got
