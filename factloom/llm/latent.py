@@ -5,7 +5,8 @@ randomised singular value decomposition of the passages' TF-IDF matrix, restrict
 the words of the benchmark, gives a latent space: two passes over the passages multiply
 a block of random vectors by the matrix and its transpose, each task summing its own
 share. Items and passages are compared by cosine in that space, with the axes divided by
-the roots of the singular values. What is near enough is checked on the words: the longest common
+the roots of the singular values. Windows that share as many words of weight with an item as any match
+needs are candidates whatever their cosine. Candidates are checked on the words: the longest common
 subsequence of item and text and, for paraphrases, of the item's answer (a column, or
 its last sentence) and the text.
 
@@ -299,6 +300,11 @@ class Search:
         self.least = LEAST_COSINE_COMMON if plain else LEAST_COSINE
         queries = np.stack([vectors[i].sum(axis=0) for i in whole])
         norms = np.linalg.norm(queries, axis=1)
+        if not plain:  # the items of each word, and how many shared words a window of so many blocks needs
+            pairs = np.unique(np.concatenate([np.stack([i, np.full(len(i), k)]) for k, i in enumerate(items)], axis=1), axis=1)
+            self.of_word, self.from_word = pairs[1], np.searchsorted(pairs[0], np.arange(len(weight) + 1))
+            self.need = np.array([max(1, int(np.ceil(PARAPHRASE * n - 1e-9))) for n in self.sizes])
+            self.blocks = np.array([BLOCKS + 2 + n // BLOCK for n in self.spans])
         self.unit = np.where(norms[:, None] > 0, queries / np.maximum(norms, 1e-30)[:, None], 0).T.copy()
 
     def check(self, i: int, text: np.ndarray) -> tuple[float, float] | None:
@@ -315,6 +321,22 @@ class Search:
         answer = common_subsequence(mask, text) / max(1, m)
         return (share, answer) if share >= copy or answer >= ANSWER else None
 
+    def sharing(self, blocks: _Blocks) -> Iterator[tuple[int, int]]:
+        """(block, item): where windows begin that share with an item as many words of weight as a match needs."""
+        if self.plain or not len(blocks.word):
+            return
+        first = self.from_word[blocks.word]
+        times = self.from_word[blocks.word + 1] - first
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item, block = self.of_word[np.repeat(first, times) + inside], np.repeat(blocks.block, times)
+        order = np.argsort(item, kind="stable")
+        item, block = item[order], block[order]
+        at = np.arange(len(item))
+        last = at + self.need[item] - 1
+        at, last = at[last < len(item)], last[last < len(item)]
+        enough = (item[at] == item[last]) & (blocks.doc[block[at]] == blocks.doc[block[last]]) & (block[last] - block[at] < self.blocks[item[at]])
+        yield from dict.fromkeys(zip(block[at[enough]].tolist(), item[at[enough]].tolist()))
+
     def found(self, docs: list[np.ndarray]) -> Iterator[tuple]:
         """(document, item, cosine, share of item, share of answer, first word): the best match of each pair."""
         blocks = _Blocks(docs, self.weight)
@@ -322,6 +344,15 @@ class Search:
         size = np.linalg.norm(latent, axis=1)
         live = np.flatnonzero(size > 0)
         best: dict[tuple[int, int], tuple] = {}
+        for row, i in self.sharing(blocks):
+            d = int(blocks.doc[row])
+            start = (row - int(blocks.first[d])) * BLOCK
+            held = self.check(i, docs[d][start : start + (BLOCKS + 2) * BLOCK + self.spans[i]])
+            if held:
+                rows = np.arange(row, min(row + self.blocks[i], blocks.first[d + 1]))
+                cosine = (latent[rows] @ self.unit[:, i] / np.maximum(size[rows], 1e-30)).max()
+                new = (held[0], float(cosine), held[1], -start)
+                best[d, i] = max(best.get((d, i), new), new)
         for at in range(0, len(live), 2048):
             rows = live[at : at + 2048]
             near = (latent[rows] / size[rows, None]) @ self.unit

@@ -81,10 +81,30 @@ def test_nulls_empty_and_repeats(spark):
 
 
 def test_changed_copies_of_an_item_in_every_document(spark):
-    docs, items, _ = corpus()
+    docs, items, _ = corpus(100)
     rng = random.Random(5)
     item = WORDS[:36]
     docs = [(k, t + " " + " ".join(w if i % 4 != k % 4 else rng.choice(WORDS) for i, w in enumerate(item))) for k, t in docs]
     d, b = frames(spark, docs, [*items, (7, " ".join(item))])
     got = {(r.doc_id, r.item_id) for r in latent.contaminated(d, b).collect()}
     assert {(k, 7) for k, _ in docs} <= got
+
+
+def test_matches_that_the_cosine_misses_are_those_of_brute_force(spark, monkeypatch):
+    docs, items, truth = corpus()
+    d, b = frames(spark, docs, items)
+    bench = latent.Benchmark([(k, t, None) for k, t in items])
+    monkeypatch.setattr(latent, "LEAST_COSINE", 2.0)
+    got = {(r.doc_id, r.item_id) for r in latent.contaminated(d, b).collect()}
+    every = set()
+    for k, t in docs:
+        text = bench.numbers(latent.words.of_text(t, latent.words.BARE))
+        for i, item in enumerate(bench.items):
+            known = latent.masks(item)
+            for start in range(0, len(text), latent.BLOCK):
+                window = text[start : start + 5 * latent.BLOCK + len(item)].tolist()
+                share = latent.common_subsequence(known, window) / len(item)
+                answer = latent.common_subsequence(latent.masks(bench.answers[i]), window) / len(bench.answers[i])
+                if share >= latent.COPY or share >= latent.PARAPHRASE and answer >= latent.ANSWER:
+                    every.add((k, bench.ids[i]))
+    assert got == every == truth
