@@ -65,8 +65,12 @@ def statistics(texts: list[str]) -> np.ndarray:
             kinds = np.bincount(raw, minlength=256) @ _KIND / len(raw)
             lines = texts[k].split("\n")
             full = len(w) // WINDOW * WINDOW
-            parts = np.sort(w[:full].reshape(-1, WINDOW) if full else w[None, :], axis=1)
-            distinct = ((parts[:, 1:] != parts[:, :-1]).sum(axis=1) + 1).mean() / parts.shape[1]
+            distinct = 0  # of all windows together; the last one may be shorter
+            for parts in (w[:full].reshape(-1, WINDOW), w[None, full:]):
+                if parts.size:
+                    parts = np.sort(parts, axis=1)
+                    distinct += (parts[:, 1:] != parts[:, :-1]).sum() + len(parts)
+            distinct /= len(w)
             out[k] = [
                 *kinds, np.log1p(len(w)), len(raw) * (1 - kinds[6]) / len(w),
                 (w[1:] == w[:-1]).mean() if len(w) > 1 else 0.0, distinct, 1 - len(set(lines)) / len(lines),

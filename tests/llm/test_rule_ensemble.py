@@ -59,3 +59,11 @@ def test_nulls_and_missing_labels(spark):
     assert rules.scores(d.limit(0), none).count() == 0
     one = spark.createDataFrame([(k, 1) for k in range(5)], "doc_id long, quality int")
     assert rules.scores(d, one).where(F.col("predicted") == 0).count() == 0
+
+
+def test_window_distinct_covers_the_whole_text():
+    at = rules.STATISTICS.index("window_distinct")
+    for n, repeated in ((0, 5), (64, 0), (64, 63), (128, 20), (10, 30)):
+        words = [f"w{k}" for k in range(n)] + ["same"] * repeated
+        windows = [words[k : k + rules.WINDOW] for k in range(0, len(words), rules.WINDOW)]
+        assert rules.statistics([" ".join(words)])[0, at] == pytest.approx(sum(len(set(w)) for w in windows) / len(words))
