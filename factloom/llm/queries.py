@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import bpe, char_cnn, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_files, url_rules
+from factloom.llm import bpe, char_cnn, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_counts, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+ENGLISH_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+CONTEXT_TOKENS = 1024
 URL_RULES = [
     url_rules.Rule("net/", "block"), url_rules.Rule("example.net/en/", "allow"),
     url_rules.Rule("example.com/de/", "block"), url_rules.Rule("org/fr/", "allow"),
@@ -79,6 +81,10 @@ def op10_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ENGLISH_VOCABULARY, CONTEXT_TOKENS)
+
+
 def queries() -> dict:
     numbered = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return numbered | {"pipeline": corpus_pipeline.run}
