@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import bpe, char_cnn, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_counts, token_files, url_rules
+from factloom.llm import bpe, char_cnn, cover_tree, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_counts, token_files, url_rules
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -85,13 +85,34 @@ def op11_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), ENGLISH_VOCABULARY, CONTEXT_TOKENS)
 
 
+def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.hard_negatives(
+        table(spark, sf_dir, "embeddings"), anchor_step=50, positives=5, negatives=3, low_percent=50, high_percent=95, moved=7, classes=10
+    )
+
+
 def queries() -> dict:
     numbered = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return numbered | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_wildcard_urls": """
+    return {"op12_cover_tree_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+          row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+          vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+        "op3_wildcard_urls": """
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
         p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
