@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import bpe, char_cnn, cover_tree, disclosure, latent, masked_lm, minmax, rotated_codes, rule_ensemble, token_counts, token_files, url_rules
+from factloom.llm import (
+    bpe, char_cnn, cover_tree, disclosure, latent, masked_lm, minmax, role_repair,
+    rotated_codes, rule_ensemble, token_counts, token_files, url_rules,
+)
 from factloom.llm.batches import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -91,6 +94,10 @@ def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair(role_repair.damaged(table(spark, sf_dir, "conversations")), there="there")
+
+
 def queries() -> dict:
     numbered = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return numbered | {"pipeline": corpus_pipeline.run}
