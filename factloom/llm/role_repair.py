@@ -331,7 +331,8 @@ class _Repair:
         if self.seen is None:
             self.seen = new
             return
-        old, self.seen = self.seen, {k: old[k] + new[k] for k in ("blank", "duplicate", "truncated", "illegal", "turns")}
+        old = self.seen
+        self.seen = {k: old[k] + new[k] for k in ("blank", "duplicate", "truncated", "illegal", "turns")}
         if old["last"] is not None and new["first"] is not None:
             self.seen["illegal"] += old["last"] + new["first"] not in _LEGAL_NEIGHBOURS
         if None not in (old["last_turn"], new["first_turn"]) and old["last_turn"] == new["first_turn"]:

@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from factloom import session
 from factloom.llm import role_repair as rr
 
 SPACE = " \t\n\x0b\f\r"
@@ -151,7 +152,8 @@ def _collected(frame):
     return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
-def test_frames(spark):
+def test_frames(spark, monkeypatch):
+    monkeypatch.setitem(session.SETTINGS, "spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = random.Random(3)
     rows = [(c, t, rng.choice(ROLES), rng.choice(TEXTS) + rng.choice(["", str(t)])) for c in range(60) for t in range(rng.randint(1, 9))]
     rows += [(7, None, "user", "First."), (7, 3, "user", "Same turn."), (7, 3, "user", "Same turn."), (None, 1, "user", "Hm."), (None, None, None, None)]
