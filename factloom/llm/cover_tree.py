@@ -39,8 +39,8 @@ from factloom.llm import batches
 from factloom.session import materialize
 
 #: Vectors of a tree, on average, trees of a shelf, and anchors of a block: what a task holds at a time follows these.
-TREE = 4096
-SHELF = 16
+TREE = 1024
+SHELF = 32
 ANCHORS = 256
 #: Nodes taken from the frontier at first and at most.
 FIRST_NODES, MOST_NODES = 32, 1024

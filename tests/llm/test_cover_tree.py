@@ -44,7 +44,7 @@ def _clustered(rng, n, dim, labels, spread):
     return rows
 
 
-@pytest.mark.parametrize("tree, shelf, anchors", [(4096, 16, 256), (40, 2, 3)])
+@pytest.mark.parametrize("tree, shelf, anchors", [(1024, 32, 256), (40, 2, 3)])
 def test_equals_brute_force(spark, monkeypatch, tree, shelf, anchors):
     for name, value in (("TREE", tree), ("SHELF", shelf), ("ANCHORS", anchors)):
         monkeypatch.setattr(ct, name, value)
