@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["finding_queries", "text_queries", "case_queries"]
+MODULES = ["finding_queries", "text_queries", "case_queries", "stream_queries"]
 
 
 def _collect():
