@@ -9,7 +9,12 @@ field difference struct and the active review.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import operator
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import rules
@@ -28,6 +33,13 @@ CONFLICT, CONTEXT = "POTENTIAL_CONFLICT", "INSUFFICIENT_CONTEXT"
 GROUP = ["case_id", "ref_key"]
 
 
+def _stated_time(active: DataFrame) -> Column:
+    """What the text says about the time, or the event's own timestamp where it says nothing and the table has one."""
+    said = refs.blank_to_null(F.col("temporal_information"))
+    own = F.col("timestamp").cast("string") if "timestamp" in active.columns else F.lit(None).cast("string")
+    return F.coalesce(said, own)
+
+
 def _prepared(active: DataFrame) -> DataFrame:
     """Only the columns the detectors read, with the event order as one sortable value."""
     return active.select(
@@ -42,7 +54,7 @@ def _prepared(active: DataFrame) -> DataFrame:
         "page_number",
         "order_reference",
         "transaction_reference",
-        "temporal_information",
+        _stated_time(active).alias("temporal_information"),
         "amount_value",
         F.upper(F.trim(F.coalesce("amount_currency", F.lit("")))).alias("currency"),
         "polarity",
@@ -95,9 +107,35 @@ def reference_groups(index: DataFrame) -> DataFrame:
 
 
 def comparable_events(active: DataFrame) -> DataFrame:
-    """Reference index restricted to references that two documents share, with group facts attached."""
-    index = reference_index(active)
-    return index.join(reference_groups(index), GROUP)
+    """Reference index restricted to references that two documents share, with group facts attached.
+
+    ``other_rank`` is the rank of the event's other reference, where two documents share that one, too.
+    """
+    groups = materialize(reference_groups(reference_index(active)), "groups")
+    facts = F.struct("group_size", "display_ref", "group_rank")
+
+    def of(key: str) -> DataFrame:
+        return groups.select("case_id", F.col("ref_key").alias(key), facts.alias(f"_{key}"))
+
+    events = _prepared(active).join(of("order_key"), ["case_id", "order_key"], "left").join(of("txn_key"), ["case_id", "txn_key"], "left")
+
+    def entry(key: str, pos: int, reference: str, other: str):
+        return F.struct(
+            F.col(key).alias("ref_key"), F.lit(pos).alias("ref_pos"), F.trim(reference).alias("ref_display"),
+            F.col(f"_{key}").alias("facts"), F.col(f"_{other}.group_rank").alias("other_rank"),
+        )
+
+    order, txn = entry("order_key", 0, "order_reference", "txn_key"), entry("txn_key", 1, "transaction_reference", "order_key")
+    same = F.col("order_key").eqNullSafe(F.col("txn_key"))
+    entries = F.filter(F.when(same, F.array(order)).otherwise(F.array(order, txn)), lambda r: r["facts"].isNotNull())
+    rows = events.withColumn("_ref", F.explode(entries)).drop("_order_key", "_txn_key")
+    named = [F.col(f"_ref.{c}").alias(c) for c in ("ref_key", "ref_pos", "ref_display", "other_rank")]
+    return rows.select("*", *named, "_ref.facts.*").drop("_ref")
+
+
+def stored_members(active: DataFrame) -> DataFrame:
+    """Comparable events as a written table: every detector reads them more than once."""
+    return materialize(comparable_events(materialize(active, "active")), "members")
 
 
 def event_pair_counts(members: DataFrame) -> DataFrame:
@@ -129,23 +167,11 @@ def _pairs(members: DataFrame, keys: list[str], classes: list[str], differ: Colu
     )
 
 
-def _once_per_pair(pairs: DataFrame) -> DataFrame:
-    """Keep the first reference group of a pair that shares both its references.
-
-    Only pairs with two shared references are shuffled; the others pass through.
-    """
-    a_keys = F.array("a_order_key", "a_txn_key")
-    b_keys = F.array("b_order_key", "b_txn_key")
-    shared = F.size(F.filter(F.array_intersect(a_keys, b_keys), lambda k: k.isNotNull()))
-    marked = pairs.withColumn("_double", shared > 1)
-    single = marked.where(~F.col("_double"))
-    firsts = (
-        marked.where("_double")
-        .groupBy("case_id", "a_event_id", "b_event_id")
-        .agg(F.min_by(F.struct(*pairs.columns), "a_group_rank").alias("_p"))
-        .select("_p.*")
-    )
-    return single.drop("_double").unionByName(firsts)
+def _first_shared() -> Column:
+    """Whether the pair's group is the first of the references that both events share."""
+    other = F.when(F.col("a_ref_pos") == 0, F.col("a_txn_key")).otherwise(F.col("a_order_key"))
+    shared = (other != F.col("ref_key")) & other.isin(F.col("b_order_key"), F.col("b_txn_key"))
+    return ~F.coalesce(shared & (F.col("a_other_rank") < F.col("a_group_rank")), F.lit(False))
 
 
 def _cite(side: str) -> Column:
@@ -157,9 +183,9 @@ def _cite(side: str) -> Column:
 
 
 def _flat_pair(
-    pairs: DataFrame, kind, discriminator, title, summary, severity, state, field, value_a, value_b,
+    kind, discriminator, title, summary, severity, state, field, value_a, value_b,
     default_conf=None, with_page: bool = True, with_field: bool = True,
-) -> DataFrame:
+) -> list[Column]:
     default_conf = F.lit(1.0) if default_conf is None else default_conf
     conf = F.least(
         F.coalesce("a_model_confidence", default_conf), F.coalesce("b_model_confidence", default_conf)
@@ -169,8 +195,8 @@ def _flat_pair(
     )
     none = F.lit(None).cast("string")
     as_col = lambda v: F.lit(v) if isinstance(v, str) else v
-    return pairs.select(
-        "case_id",
+    return [
+        F.col("case_id"),
         refs.finding_id(
             F.col("case_id"), as_col(kind), discriminator, F.col("a_event_id"), F.col("b_event_id")
         ).alias("finding_id"),
@@ -192,7 +218,7 @@ def _flat_pair(
         (value_b if with_field else none).alias("value_b"),
         (source("b") if with_field else none).alias("source_b"),
         conf.alias("model_confidence"),
-    )
+    ]
 
 
 def _text(template: str, **parts: Column) -> Column:
@@ -220,14 +246,57 @@ def _is_uncertain() -> Column:
 _VERIFY = "but extraction certainty is flagged for review. Manual verification is advised before evaluating inconsistency."
 
 
-def currency_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
-    """Amounts on one reference stated in different currencies."""
-    stated = members.where(F.col("amount_value").isNotNull() & (F.col("currency") != ""))
-    p = _pairs(stated, GROUP, ["currency"], F.col("a_currency") != F.col("b_currency"), block)
+class Rule(NamedTuple):
+    """A detector of pairs. ``stated`` and ``scope`` take a prefix: a row takes part, both are of one scope."""
+
+    stated: Callable[[str], Column]
+    scope: Callable[[str], Column] | None
+    classes: list[str]
+    differ: Column
+    once: bool
+    columns: Callable[[], list[Column]]
+
+    def fires(self) -> Column:
+        both = self.stated("a_") & self.stated("b_") & self.differ
+        if self.scope is not None:
+            both &= self.scope("a_") == self.scope("b_")
+        return F.coalesce(both, F.lit(False))
+
+
+VALUES = ["event_type", "domain", "currency", "amount_value", "polarity", "stated"]
+
+
+def _with_values(members: DataFrame) -> DataFrame:
+    """Members with what the rules compare besides stored columns: settlement domain and date text."""
+    domain = F.coalesce(
+        *[F.when(F.col("event_type").isin(*pair), label) for label, pair in rules.EXCLUSIVE_OUTCOMES.items()]
+    )
+    return members.withColumn("domain", domain).withColumn("stated", F.trim(F.coalesce("temporal_information", F.lit(""))))
+
+
+def _found(members: DataFrame, rule: Rule, block: int) -> DataFrame:
+    rows = _with_values(members).where(rule.stated(""))
+    keys = list(GROUP)
+    if rule.scope is not None:
+        rows, keys = rows.withColumn("scope", rule.scope("")), [*keys, "scope"]
+    pairs = _pairs(rows, keys, rule.classes, rule.differ, block)
+    return (pairs.where(_first_shared()) if rule.once else pairs).select(*rule.columns())
+
+
+def pair_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """What all rules on pairs find, each pair built once."""
+    each = list(_rules().values())
+    some = reduce(operator.or_, [r.fires() for r in each])
+    pairs = _pairs(_with_values(members), GROUP, VALUES, some, block)
+    found = F.array(*[F.when(r.fires() & _first_shared() if r.once else r.fires(), F.struct(*r.columns())) for r in each])
+    return pairs.select(F.inline(F.filter(found, lambda f: f.isNotNull())))
+
+
+def _currency_columns() -> list[Column]:
     ref = F.col("a_display_ref")
     value = lambda s: F.concat_ws(" ", F.col(f"{s}_currency"), refs.money_text(F.col(f"{s}_amount_value")))
     return _flat_pair(
-        p, "CURRENCY_MISMATCH", F.col("ref_key"),
+        "CURRENCY_MISMATCH", F.col("ref_key"),
         _text("Potential Inconsistency: Currency Denomination Mismatch on Reference {ref}", ref=ref),
         _text(
             "Reference '{ref}' is denominated in {ca} in {sa} and in {cb} in {sb}. "
@@ -239,15 +308,8 @@ def currency_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataF
     )
 
 
-def amount_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
-    """Amounts on one reference that differ by more than 0.01 in the same or an unstated currency."""
-    stated = members.where(F.col("amount_value").isNotNull())
-    comparable = (
-        (F.col("a_currency") == F.col("b_currency")) | (F.col("a_currency") == "") | (F.col("b_currency") == "")
-    )
+def _amount_columns() -> list[Column]:
     gap = F.abs(F.col("a_amount_value") - F.col("b_amount_value"))
-    differ = comparable & (gap > F.lit(rules.AMOUNT_TOLERANCE).cast("decimal(4,2)"))
-    p = _pairs(stated, GROUP, ["currency", "amount_value"], differ, block)
     symbol = F.coalesce(
         refs.blank_to_null(F.col("a_currency")), refs.blank_to_null(F.col("b_currency")), F.lit("$")
     )
@@ -265,7 +327,6 @@ def amount_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFra
         ),
     )
     return _flat_pair(
-        p,
         F.when(_needs_review(), "MONETARY_DISCREPANCY_UNCERTAIN").otherwise("MONETARY_DISCREPANCY_POTENTIAL"),
         F.col("ref_key"),
         F.when(_needs_review(), _text("Uncertain Comparison: Amount Divergence on Reference {ref}", **parts)).otherwise(
@@ -281,19 +342,10 @@ def amount_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFra
     )
 
 
-def polarity_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
-    """One document asserts a milestone, another negates it."""
-    stated = members.where(F.coalesce("polarity", F.lit("")) != "")
-    p = _once_per_pair(
-        _pairs(
-            stated, [*GROUP, "event_type"], ["polarity"], F.col("a_polarity") != F.col("b_polarity"), block
-        )
-        .withColumn("a_event_type", F.col("event_type"))
-        .drop("event_type")
-    )
+def _polarity_columns() -> list[Column]:
     parts = dict(ref=F.col("a_display_ref"), t=refs.spaced(F.col("a_event_type")))
     return _flat_pair(
-        p, "POLARITY_CONFLICT", F.col("ref_key"),
+        "POLARITY_CONFLICT", F.col("ref_key"),
         F.when(_is_uncertain(), _text("Uncertain Comparison: Opposing Assertion on {t} ({ref})", **parts)).otherwise(
             _text("Potential Inconsistency: Opposing Assertion on {t} ({ref})", **parts)
         ),
@@ -317,24 +369,14 @@ def polarity_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataF
     )
 
 
-def outcome_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
-    """Success and failure of the same settlement; a failure before a success is a probable retry."""
-    domain = F.coalesce(
-        *[F.when(F.col("event_type").isin(*pair), label) for label, pair in rules.EXCLUSIVE_OUTCOMES.items()]
-    )
-    stated = members.withColumn("domain", domain).where(F.col("domain").isNotNull())
-    p = _once_per_pair(
-        _pairs(
-            stated, [*GROUP, "domain"], ["event_type"], F.col("a_event_type") != F.col("b_event_type"), block
-        )
-    )
+def _outcome_columns() -> list[Column]:
     a_failed = F.contains(F.col("a_event_type"), F.lit("FAILED"))
     ts = lambda s: refs.explicit_timestamp(F.col(f"{s}_temporal_information"))
     failed_at = F.when(a_failed, ts("a")).otherwise(ts("b"))
     success_at = F.when(a_failed, ts("b")).otherwise(ts("a"))
     retry = F.coalesce(failed_at < success_at, F.lit(False))
     parts = dict(
-        ref=F.col("a_display_ref"), dom=F.col("domain"),
+        ref=F.col("a_display_ref"), dom=F.col("a_domain"),
         ta=refs.title_words(F.col("a_event_type")), tb=refs.title_words(F.col("b_event_type")),
         sa=F.col("a_source_name"), sb=F.col("b_source_name"),
         note=F.when(
@@ -346,7 +388,7 @@ def outcome_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFr
         ),
     )
     return _flat_pair(
-        p, "OUTCOME_CONFLICT", F.col("ref_key"),
+        "OUTCOME_CONFLICT", F.col("ref_key"),
         F.when(_is_uncertain(), _text("Uncertain Comparison: Opposing Outcome on {dom} ({ref})", **parts)).otherwise(
             _text("Potential Inconsistency: Opposing Outcome on {dom} ({ref})", **parts)
         ),
@@ -366,20 +408,13 @@ def outcome_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFr
     )
 
 
-def date_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
-    """The same milestone stated with different date texts."""
-    stated = members.withColumn("stated", F.trim(F.coalesce("temporal_information", F.lit("")))).where(
-        F.col("stated") != ""
-    )
-    p = _once_per_pair(
-        _pairs(stated, [*GROUP, "event_type"], ["stated"], F.col("a_stated") != F.col("b_stated"), block)
-    )
+def _date_columns() -> list[Column]:
     parts = dict(
-        ref=F.col("a_display_ref"), t=refs.title_words(F.col("event_type")),
+        ref=F.col("a_display_ref"), t=refs.title_words(F.col("a_event_type")),
         da=F.col("a_stated"), db=F.col("b_stated"), sa=F.col("a_source_name"), sb=F.col("b_source_name"),
     )
     return _flat_pair(
-        p, "DATE_DISCREPANCY", F.col("ref_key"),
+        "DATE_DISCREPANCY", F.col("ref_key"),
         _text("Potential Inconsistency: Event Date Discrepancy on {t} ({ref})", **parts),
         _text(
             "'{t}' is recorded on {da} in {sa} and on {db} in {sb} for reference '{ref}'. This indicates "
@@ -389,6 +424,88 @@ def date_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame
     )
 
 
+def _comparable_amounts() -> Column:
+    same = (F.col("a_currency") == F.col("b_currency")) | (F.col("a_currency") == "") | (F.col("b_currency") == "")
+    gap = F.abs(F.col("a_amount_value") - F.col("b_amount_value"))
+    return same & (gap > F.lit(rules.AMOUNT_TOLERANCE).cast("decimal(4,2)"))
+
+
+def _differ(column: str) -> Column:
+    return F.col(f"a_{column}") != F.col(f"b_{column}")
+
+
+def _rules() -> dict[str, Rule]:
+    amount = lambda x: F.col(f"{x}amount_value").isNotNull()
+    kind = lambda x: F.col(f"{x}event_type")
+    return {
+        "CURRENCY_MISMATCH": Rule(lambda x: amount(x) & (F.col(f"{x}currency") != ""), None, ["currency"], _differ("currency"), False, _currency_columns),
+        "MONETARY_DISCREPANCY": Rule(amount, None, ["currency", "amount_value"], _comparable_amounts(), False, _amount_columns),
+        "POLARITY_CONFLICT": Rule(lambda x: F.coalesce(f"{x}polarity", F.lit("")) != "", kind, ["polarity"], _differ("polarity"), True, _polarity_columns),
+        "OUTCOME_CONFLICT": Rule(lambda x: F.col(f"{x}domain").isNotNull(), lambda x: F.col(f"{x}domain"), ["event_type"], _differ("event_type"), True, _outcome_columns),
+        "DATE_DISCREPANCY": Rule(lambda x: F.col(f"{x}stated") != "", kind, ["stated"], _differ("stated"), True, _date_columns),
+    }
+
+
+def currency_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """Amounts on one reference stated in different currencies."""
+    return _found(members, _rules()["CURRENCY_MISMATCH"], block)
+
+
+def amount_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """Amounts on one reference that differ by more than 0.01 in the same or an unstated currency."""
+    return _found(members, _rules()["MONETARY_DISCREPANCY"], block)
+
+
+def polarity_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """One document asserts a milestone, another negates it."""
+    return _found(members, _rules()["POLARITY_CONFLICT"], block)
+
+
+def outcome_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """Success and failure of the same settlement; a failure before a success is a probable retry."""
+    return _found(members, _rules()["OUTCOME_CONFLICT"], block)
+
+
+def date_findings(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """The same milestone stated with different date texts."""
+    return _found(members, _rules()["DATE_DISCREPANCY"], block)
+
+
+def finding_classes(members: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
+    """The collapsed form of the pair findings: no pair of events is built.
+
+    One row per reference, kind, scope (the milestone or settlement, else empty) and pair of values that
+    disagree: how many pairs of events of different documents hold them, and one of those, the cited one.
+    A pair that shares two references counts under both.
+    """
+    rows = _with_values(members)
+    entries = []
+    for kind, rule in _rules().items():
+        value = F.struct(*[(F.col(c) if c in rule.classes else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in VALUES])
+        scope = rule.scope("") if rule.scope is not None else F.lit("")
+        entries.append(F.when(rule.stated(""), F.struct(F.lit(kind).alias("kind"), scope.alias("scope"), value.alias("value"))))
+    long = rows.select(*GROUP, "evidence_id", "event_id", F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    keys = [*GROUP, "kind", "scope"]
+    in_doc = materialize(long.groupBy(*keys, "value", "evidence_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("event_id")), "values")
+    cited = F.struct("evidence_id", "event_id")
+    values = in_doc.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.min(cited).alias("lo"), F.max(cited).alias("hi"))
+    values = materialize(values.select("*", *[F.col(f"value.{c}").alias(c) for c in VALUES]), "values")
+    differ = F.coalesce(*[F.when(F.col("kind") == kind, r.differ) for kind, r in _rules().items()])
+    met = skew.grid_pairs(values, keys, "value", differ, block)
+    # pairs inside one document don't count
+    a = in_doc.select(*keys, "evidence_id", F.col("value").alias("a_value"), F.col("n").alias("_a"))
+    b = in_doc.select(*keys, "evidence_id", F.col("value").alias("b_value"), F.col("n").alias("_b"))
+    inside = a.join(b, [*keys, "evidence_id"]).where("a_value < b_value").groupBy(*keys, "a_value", "b_value").agg(F.sum(F.col("_a") * F.col("_b")).alias("_inside"))
+    doc = lambda x: F.col(f"{x}.evidence_id")
+    pick = F.coalesce(*[
+        F.when(doc(x) != doc(y), F.struct(F.col(f"{x}.event_id").alias("event_a"), F.col(f"{y}.event_id").alias("event_b")))
+        for x, y in (("a_lo", "b_lo"), ("a_lo", "b_hi"), ("a_hi", "b_lo"))
+    ])
+    text = lambda x: F.concat_ws(" ", *[F.col(f"{x}_value.{c}").cast("string") for c in VALUES])
+    counted = met.join(inside, [*keys, "a_value", "b_value"], "left").withColumn("pairs", F.col("a_n") * F.col("b_n") - F.coalesce("_inside", F.lit(0)))
+    return counted.where("pairs > 0").select(*keys, text("a").alias("value_a"), text("b").alias("value_b"), "pairs", pick["event_a"].alias("event_a"), pick["event_b"].alias("event_b"))
+
+
 def document_reference_sets(active: DataFrame) -> DataFrame:
     """Per document: its sorted set of order references and its first event that cites one."""
     ev = _prepared(active).where(F.col("order_key").isNotNull())
@@ -412,11 +529,8 @@ def order_ref_divergence(active: DataFrame) -> DataFrame:
 
     Grows with the distinct reference sets of a case, not with its documents.
     """
-    sets = (
-        document_reference_sets(active)
-        .groupBy("case_id", "ref_set")
-        .agg(F.count(F.lit(1)).alias("documents"))
-    )
+    sets = document_reference_sets(active).groupBy("case_id", "ref_set").agg(F.count(F.lit(1)).alias("documents"))
+    sets = materialize(sets, "references")
     return skew.grid_pairs(sets, ["case_id"], "ref_set", _disjoint(), skew.PAIR_BLOCK).select(
         "case_id",
         F.array_join("a_ref_set", ",").alias("refs_a"),
@@ -428,14 +542,14 @@ def order_ref_divergence(active: DataFrame) -> DataFrame:
 
 def order_ref_findings(active: DataFrame, block: int = skew.PAIR_BLOCK) -> DataFrame:
     """Document pairs of a case whose order references have nothing in common."""
-    docs = document_reference_sets(active)
+    docs = materialize(document_reference_sets(active), "references")
     p = skew.discordant_pairs(
         docs, ["case_id"], ["ref_set"], _disjoint(), F.lit(True), "ord", block
     )
     a_ref, b_ref = F.element_at("a_ref_set", 1), F.element_at("b_ref_set", 1)
     parts = dict(ra=a_ref, rb=b_ref, sa=F.col("a_source_name"), sb=F.col("b_source_name"))
-    return _flat_pair(
-        p, "ORDER_REFERENCE_MISMATCH", F.concat(a_ref, F.lit("_"), b_ref),
+    columns = _flat_pair(
+        "ORDER_REFERENCE_MISMATCH", F.concat(a_ref, F.lit("_"), b_ref),
         _text("Potential Inconsistency: Divergent Order References Across Case Evidence ({ra} vs {rb})", **parts),
         _text(
             "Evidence '{sa}' cites order reference '{ra}', whereas evidence '{sb}' cites order reference '{rb}'. "
@@ -444,6 +558,7 @@ def order_ref_findings(active: DataFrame, block: int = skew.PAIR_BLOCK) -> DataF
         ),
         "MEDIUM", CONFLICT, "Order Reference", a_ref, b_ref, with_page=False,
     )
+    return p.select(*columns)
 
 
 def _flat_single(df: DataFrame, kind, discriminator, title, summary, severity, state, citation, conf, with_event=True):
@@ -574,73 +689,132 @@ def _rule_roles(event_type: Column, precedence, side: int) -> Column:
     return F.try_element_at(lookup, event_type)
 
 
-def _inversions(early: DataFrame, late: DataFrame, keys: list[str], distinct_documents: bool) -> DataFrame:
-    """Pairs (early, late) with equal keys and late strictly before early.
+SEQUENCE = ["case_id", "rule", "scope"]
 
-    Rows that cannot be part of an inversion (later than every early row, or
-    earlier than every late row of the key) are dropped by one aggregate first.
-    """
-    bounds = (
-        early.groupBy(*keys).agg(F.max("at").alias("_max_early"))
-        .join(late.groupBy(*keys).agg(F.min("at").alias("_min_late")), keys)
-        .where(F.col("_min_late") < F.col("_max_early"))
-    )
-    a = skew.prefixed(early.join(bounds, keys).where(F.col("at") > F.col("_min_late")).drop("_min_late", "_max_early"), "a_", keys)
-    b = skew.prefixed(late.join(bounds, keys).where(F.col("at") < F.col("_max_early")).drop("_min_late", "_max_early"), "b_", keys)
-    met = skew.grid_join(a, b, keys, "a_event_id", "b_event_id", skew.PAIR_BLOCK * 10).where(F.col("b_at") < F.col("a_at"))
-    return met.where(F.col("a_evidence_id") != F.col("b_evidence_id")) if distinct_documents else met
 
+def _sequence(active: DataFrame, precedence, by_reference: bool) -> DataFrame:
+    """Dated events in their roles: ``late`` or not in a rule, under a scope in which they are compared.
 
-def _timed(active: DataFrame, precedence) -> tuple[DataFrame, DataFrame]:
+    By reference there are three scopes: events of one reference; late events without a reference with all early
+    ones; early ones without a reference with late ones that have one.
+    """
+    role = lambda late: F.transform(_rule_roles(F.col("event_type"), precedence, int(late)), lambda r: F.struct(F.lit(late).alias("late"), r.alias("rule")))
+    none = F.array().cast("array<struct<late:boolean,rule:int>>")
     ev = (
         _prepared(active)
-        .withColumn("ref_key", F.coalesce("order_key", "txn_key"))
-        .withColumn("at", refs.explicit_timestamp(F.col("temporal_information")))
-        .where(F.col("at").isNotNull())
+        .select(
+            "case_id", "event_id", "evidence_id", "event_type", "source_name", "page_number", "char_start", "char_end", "trigger_raw_text",
+            "model_confidence", F.coalesce("order_key", "txn_key").alias("ref_key"),
+            refs.explicit_timestamp(F.col("temporal_information")).alias("at"),
+        )
+        .where("at is not null")
+        .withColumn("_role", F.explode(F.concat(F.coalesce(role(False), none), F.coalesce(role(True), none))))
+        .select("*", "_role.late", "_role.rule").drop("_role")
     )
-    early = ev.withColumn("rule", F.explode(_rule_roles(F.col("event_type"), precedence, 0)))
-    late = ev.withColumn("rule", F.explode(_rule_roles(F.col("event_type"), precedence, 1)))
-    return early, late
+    if not by_reference:
+        return ev.withColumn("scope", F.lit(""))
+    own, ref = F.concat(F.lit("= "), F.col("ref_key")), F.col("ref_key").isNotNull()
+    early = F.when(ref, F.array(own, F.lit("late open"))).otherwise(F.array(F.lit("late open"), F.lit("early open")))
+    late = F.when(ref, F.array(own, F.lit("early open"))).otherwise(F.array(F.lit("late open")))
+    return ev.withColumn("scope", F.explode(F.when(F.col("late"), late).otherwise(early)))
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """The rows that can be part of an inversion: not later than every early row, or earlier than every late row, of their scope."""
+    rows = materialize(rows, "sequence")
+    at = lambda late: F.when(F.col("late") == late, F.col("at"))
+    bounds = rows.groupBy(*SEQUENCE).agg(F.max(at(False)).alias("_max_early"), F.min(at(True)).alias("_min_late")).where("_min_late < _max_early")
+    kept = rows.join(bounds, SEQUENCE).where(F.when(F.col("late"), F.col("at") < F.col("_max_early")).otherwise(F.col("at") > F.col("_min_late")))
+    return materialize(kept.drop("_max_early", "_min_late"), "crossing")
+
+
+def _inversions(rows: DataFrame) -> DataFrame:
+    """Pairs (early a, late b) of a scope with the late one strictly before the early one."""
+    kept = _crossing(rows)
+    a = skew.prefixed(kept.where("not late"), "a_", SEQUENCE)
+    b = skew.prefixed(kept.where("late"), "b_", SEQUENCE)
+    return skew.grid_join(a, b, SEQUENCE, "a_event_id", "b_event_id", skew.PAIR_BLOCK * 10).where(F.col("b_at") < F.col("a_at"))
 
 
 def temporal_findings(active: DataFrame) -> DataFrame:
     """A later milestone dated before an earlier one, in different documents.
 
-    References must be equal where both have one; an event without reference is
-    compared with the whole case. The three situations are three equi-joins.
+    References must be equal where both have one; an event without reference is compared with the whole case.
     """
-    early, late = _timed(active, rules.PRECEDENCE)
-    e_ref, l_ref = F.col("ref_key").isNotNull(), F.col("ref_key").isNotNull()
-    scope = ["case_id", "rule"]
-    same = _inversions(early.where(e_ref), late.where(l_ref), [*scope, "ref_key"], True)
-    same = same.withColumn("disc", F.col("ref_key")).drop("ref_key")
-    late_open = _inversions(early, late.where(~l_ref), scope, True).withColumn(
-        "disc", F.coalesce("a_ref_key", F.lit("CASE_SCOPE"))
-    ).drop("a_ref_key", "b_ref_key")
-    early_open = _inversions(early.where(~e_ref), late.where(l_ref), scope, True).withColumn(
-        "disc", F.col("b_ref_key")
-    ).drop("a_ref_key", "b_ref_key")
-    p = same.unionByName(late_open).unionByName(early_open)
+    p = _inversions(_sequence(active, rules.PRECEDENCE, True)).where("a_evidence_id != b_evidence_id")
+    disc = F.coalesce("a_ref_key", "b_ref_key", F.lit("CASE_SCOPE"))
     parts = dict(
-        d=F.col("disc"), tl=refs.spaced(F.col("b_event_type")), te=refs.spaced(F.col("a_event_type")),
+        d=disc, tl=refs.spaced(F.col("b_event_type")), te=refs.spaced(F.col("a_event_type")),
         al=refs.iso_instant(F.col("b_at")), ae=refs.iso_instant(F.col("a_at")),
     )
     kind = F.concat_ws("_", F.lit("TEMPORAL_VIOLATION"), F.col("a_event_type"), F.col("b_event_type"))
-    return _flat_pair(
-        p, kind, F.col("disc"),
+    return p.select(*_flat_pair(
+        kind, disc,
         _text("Potential Inconsistency: Temporal Sequence Anomaly ({d})", **parts),
         _text(
             "{tl} recorded at {al} precedes {te} recorded at {ae} for reference '{d}'. Differing timezones, "
             "retrospective logging, or batch entry delays may account for this chronological inversion.", **parts,
         ),
         "MEDIUM", CONFLICT, "", F.lit(""), F.lit(""), with_field=False,
+    ))
+
+
+def _inversion_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of pairs (early, late) of each key with the late one before the early one.
+
+    Rows are counted by instant first. How many late ones come before an instant is how many come on earlier
+    days, from counts by day, and on the same day before it: no task holds all instants of a key.
+    """
+    instants = rows.groupBy(*keys, "at").agg(F.count_if(~F.col("late")).alias("_early"), F.count_if("late").alias("_late"))
+    instants = materialize(instants.withColumn("_day", F.to_date("at")), "instants")
+    days = instants.groupBy(*keys, "_day").agg(F.sum("_late").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_day").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = instants.withColumn("_inside", F.coalesce(F.sum("_late").over(inside), F.lit(0)))
+    return ranked.join(days, [*keys, "_day"]).groupBy(*keys).agg(F.sum(F.col("_early") * (F.col("_before") + F.col("_inside"))).alias("pairs"))
+
+
+def sequence_classes(active: DataFrame, precedence=None, distinct_documents: bool = True) -> DataFrame:
+    """The collapsed form of the sequence findings: no pair is built.
+
+    One row per case, rule and scope: how many pairs of a later milestone dated before an earlier one there are, and
+    the pair that is furthest apart (then the one with the later early event, and event ids decide).
+    """
+    precedence = precedence or rules.PRECEDENCE
+    kept = _crossing(_sequence(active, precedence, distinct_documents))
+    counts = _inversion_counts(kept, SEQUENCE)
+    if distinct_documents:
+        inside = _inversion_counts(kept, [*SEQUENCE, "evidence_id"]).groupBy(*SEQUENCE).agg(F.sum("pairs").alias("_inside"))
+        counts = counts.join(inside, SEQUENCE).select(*SEQUENCE, (F.col("pairs") - F.col("_inside")).alias("pairs"))
+    # the best event of each side, and the best in another document, are enough to find the pair
+    doc = "evidence_id" if distinct_documents else "event_id"
+    side = lambda late: F.when(F.col("late") == late, F.struct("at", "event_id", "evidence_id"))
+    ends = kept.groupBy(*SEQUENCE, doc).agg(F.max(side(False)).alias("early"), F.min(side(True)).alias("late"))
+    first = Window.partitionBy(*SEQUENCE)
+    ends = ends.withColumn("_e", F.row_number().over(first.orderBy(F.desc_nulls_last("early")))).withColumn("_l", F.row_number().over(first.orderBy(F.asc_nulls_last("late"))))
+    best = ends.where("_e <= 2 or _l <= 2").groupBy(*SEQUENCE).agg(
+        *[F.max(F.when(F.col(f"_{x[0]}") == k, F.col(x))).alias(f"{x}{k}") for x in ("early", "late") for k in (1, 2)]
+    )
+    gap = lambda e, l: F.unix_micros(F.col(f"{e}.at")) - F.unix_micros(F.col(f"{l}.at"))
+    offers = F.filter(F.array(*[
+        F.when(
+            F.lit(not distinct_documents) | (F.col(f"{e}.evidence_id") != F.col(f"{l}.evidence_id")),
+            F.struct((-gap(e, l)).alias("g"), (-F.unix_micros(F.col(f"{e}.at"))).alias("t"), F.col(f"{e}.event_id").alias("event_a"), F.col(f"{l}.event_id").alias("event_b")),
+        )
+        for e, l in (("early1", "late1"), ("early1", "late2"), ("early2", "late1"))  # noqa: E741
+    ]), lambda o: o["g"].isNotNull())
+    pair = F.array_min(offers)
+    types = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in precedence]), F.col("rule") + 1)
+    return counts.where("pairs > 0").join(best, SEQUENCE).select(
+        "case_id", types(0).alias("type_early"), types(1).alias("type_late"), "scope", "pairs",
+        pair["event_a"].alias("event_a"), pair["event_b"].alias("event_b"), (-pair["g"] / 1_000_000).cast("long").alias("seconds_apart"),
     )
 
 
 def check_temporal(active: DataFrame) -> DataFrame:
     """First-generation sequence check: four rules, any documents, any references, HIGH."""
-    early, late = _timed(active, rules.PRECEDENCE_V0)
-    p = _inversions(early, late, ["case_id", "rule"], False)
+    p = _inversions(_sequence(active, rules.PRECEDENCE_V0, False))
     return p.select(
         "case_id",
         F.lit("Potential Inconsistency: Temporal Sequence Violation").alias("title"),
@@ -765,11 +939,7 @@ def union_findings(
     """Union of every detector, one row per finding id."""
     parts = [
         zero_event_findings(evidence, active),
-        currency_findings(members, block),
-        amount_findings(members, block),
-        polarity_findings(members, block),
-        outcome_findings(members, block),
-        date_findings(members, block),
+        pair_findings(members, block),
         order_ref_findings(active, block),
         missing_corroboration(active),
         temporal_findings(active),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import rules, session
 from factloom.functions import refs
 from factloom.operators import evaluation, findings, versions
 from factloom.plans import case_tables as ct
@@ -22,7 +23,7 @@ def active(spark, sf) -> DataFrame:
 
 
 def members(spark, sf) -> DataFrame:
-    return findings.comparable_events(active(spark, sf))
+    return findings.stored_members(active(spark, sf))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ COUNTED = "SELECT kind, severity, conflict_state, count(*) AS findings, count(DI
 
 
 def all_found(spark, sf):
-    return findings.union_findings(ct.evidence(spark, sf), active(spark, sf), members(spark, sf))
+    return findings.all_findings(ct.evidence(spark, sf), ct.events(spark, sf))
 
 
 def _summary(spark, sf):
@@ -243,21 +244,56 @@ COVERAGE_SQL = """SELECT case_id, lid AS claim_id, 'MISSING_EVIDENCE_ADVISORY' A
   AND case_id NOT IN (SELECT case_id FROM l WHERE l_returnflag='A' AND l_linestatus='F' AND ok%9=0)"""
 
 
-def _v0(spark, sf):
-    """First-generation check on active events renamed to its own milestone types."""
-    a = active(spark, sf)
-    renamed = a.withColumn(
+def _renamed(spark, sf):
+    """Active events under the first generation's names of milestones."""
+    return active(spark, sf).withColumn(
         "event_type",
         F.when(F.col("event_type") == "ITEM_SHIPPED", "ORDER_SHIPPED")
         .when(F.col("event_type") == "REFUND_COMPLETED", "REFUND_PROCESSED").otherwise(F.col("event_type")),
-    ).where(F.col("event_type").isin("ORDER_PLACED", "ORDER_SHIPPED"))
-    return findings.check_temporal(renamed)
+    )
 
 
+V0_TYPES = "(('ORDER_PLACED','ORDER_SHIPPED'),('REFUND_REQUESTED','REFUND_PROCESSED'))"
+V0 = """
+v0 AS (SELECT case_id, event_id, tm.at AS at, CASE event_type WHEN 'ITEM_SHIPPED' THEN 'ORDER_SHIPPED' WHEN 'REFUND_COMPLETED' THEN 'REFUND_PROCESSED' ELSE event_type END AS et FROM tm)
+"""
 V0_SQL = f"""SELECT a.case_id, 'Potential Inconsistency: Temporal Sequence Violation' AS title,
-  'ORDER_SHIPPED recorded at '||{ISO.format('b.at')}||' precedes ORDER_PLACED recorded at '||{ISO.format('a.at')}||'.' AS summary,
+  b.et||' recorded at '||{ISO.format('b.at')}||' precedes '||a.et||' recorded at '||{ISO.format('a.at')}||'.' AS summary,
   'HIGH' AS severity, 'DIRECT_CONTRADICTION' AS conflict_state, a.event_id AS event_a, b.event_id AS event_b
- FROM tm a JOIN tm b ON a.case_id=b.case_id AND a.event_type='ORDER_PLACED' AND b.event_type='ITEM_SHIPPED' AND b.at<a.at"""
+ FROM v0 a JOIN v0 b ON a.case_id=b.case_id AND (a.et,b.et) IN {V0_TYPES} AND b.at<a.at"""
+#: Classes of values that disagree, counted from the pairs themselves.
+CLASS_PARTS = [
+    ("CURRENCY_MISMATCH", "''", "ca", "cb", "va IS NOT NULL AND vb IS NOT NULL AND ca<>'' AND cb<>'' AND ca<>cb"),
+    ("MONETARY_DISCREPANCY", "''", "ca||' '||va", "cb||' '||vb", "va IS NOT NULL AND vb IS NOT NULL AND (ca=cb OR ca='' OR cb='') AND abs(va-vb)>0.01"),
+    ("POLARITY_CONFLICT", "ta", "pola", "polb", "ta=tb AND pola<>polb"),
+    ("OUTCOME_CONFLICT", DOMAIN, "ta", "tb", "(ta,tb) IN (('PAYMENT_MADE','PAYMENT_FAILED'),('PAYMENT_FAILED','PAYMENT_MADE'),('REFUND_COMPLETED','REFUND_FAILED'),('REFUND_FAILED','REFUND_COMPLETED'))"),
+    ("DATE_DISCREPANCY", "ta", "trim(tia)", "trim(tib)", "ta=tb AND trim(tia)<>trim(tib)"),
+]
+
+
+def _class_sql() -> str:
+    """Each pair's two values in their order, then counts, and the cited pair by the documents' ends."""
+    parts = " UNION ALL ".join(
+        f"SELECT case_id, ref_key, '{k}' AS kind, {scope} AS scope, {a} AS x, {b} AS y, ea, eb, da, db FROM pr WHERE {cond}" for k, scope, a, b, cond in CLASS_PARTS
+    )
+    return f"""WITH {{prelude}}, {REFX},
+        p AS ({parts}),
+        q AS (SELECT case_id, ref_key, kind, scope, least(x,y) AS v, greatest(x,y) AS w, count(*) AS pairs FROM p GROUP BY ALL)
+        SELECT case_id, ref_key, kind, scope, v AS value_lo, w AS value_hi, pairs FROM q"""
+
+
+SEQUENCE_SQL = """SELECT case_id, ta AS type_early, tb AS type_late,
+    CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN '= '||ra WHEN rb IS NULL THEN 'late open' ELSE 'early open' END AS scope, count(*) AS pairs,
+    first(ea ORDER BY ab-aa, aa DESC, ea, eb) AS event_a, first(eb ORDER BY ab-aa, aa DESC, ea, eb) AS event_b,
+    CAST(max(epoch_us(aa)-epoch_us(ab))//1000000 AS BIGINT) AS seconds_apart
+  FROM (SELECT tp.*, x.rk AS ra, y.rk AS rb FROM tp JOIN tm x ON x.event_id=ea AND x.case_id=tp.case_id JOIN tm y ON y.event_id=eb AND y.case_id=tp.case_id) GROUP BY ALL"""
+
+
+def _classes(spark, sf):
+    """Classes with their two values in one order, so that sides don't matter."""
+    c = findings.finding_classes(members(spark, sf))
+    lo, hi = F.least("value_a", "value_b"), F.greatest("value_a", "value_b")
+    return c.select("case_id", "ref_key", "kind", "scope", lo.alias("value_lo"), hi.alias("value_hi"), "pairs")
 
 
 def _fallback(spark, sf):
@@ -273,32 +309,6 @@ def _citations(spark, sf):
     return a.select(c.alias("c")).select("c.*")
 
 
-def _ordered(spark, sf):
-    """Missing corroboration and sequence findings ranked inside their case, with active reviews."""
-    from factloom.plans.dossier_queries import review_rows
-
-    a = active(spark, sf)
-    both = findings.missing_corroboration(a).select(*findings.FLAT).unionByName(
-        findings.temporal_findings(a).select(*findings.FLAT)
-    )
-    got = findings.attach_reviews(both, review_rows(spark, sf))
-    return got.select(
-        "case_id", "finding_id", "severity", findings.severity_rank(F.col("severity")).cast("int").alias("severity_rank"),
-        F.col("active_review.decision").alias("decision"), F.col("active_review.version").alias("version"),
-    )
-
-
-def _ordered_sql():
-    from factloom.plans.dossier_queries import REVIEW_CTE
-
-    return sql(
-        f"""SELECT f.case_id, f.finding_id, severity, CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS severity_rank,
-          r.decision, r.version FROM (({MISSING_SQL}) UNION ALL BY NAME ({TEMPORAL_SQL})) f
-          LEFT JOIN rv r ON r.case_id=f.case_id AND r.finding_id=f.finding_id AND r.is_active""",
-        TIMED + "," + REVIEW_CTE,
-    )
-
-
 def register(add) -> None:
     add("active_events", lambda s, p: active(s, p).select(
         "case_id", "evidence_id", "event_id", "processing_version", "event_type", "source_name",
@@ -336,7 +346,13 @@ def register(add) -> None:
         f"SELECT * FROM ({MISSING_SQL}) WHERE kind='MISSING_CORROBORATION_PAYMENT_SENT'"))
     add("zero_event_findings", lambda s, p: shown(findings.zero_event_findings(ct.evidence(s, p), active(s, p))), sql(ZERO_SQL))
     add("temporal_findings", lambda s, p: shown(findings.temporal_findings(active(s, p))), sql(TEMPORAL_SQL, TIMED))
-    add("check_temporal", _v0, sql(V0_SQL, TIMED))
+    add("check_temporal", lambda s, p: findings.check_temporal(_renamed(s, p)), sql(V0_SQL, TIMED + "," + V0))
+    add("finding_classes", _classes, _class_sql().replace("{prelude}", ct.PRELUDE))
+    add("sequence_classes", lambda s, p: findings.sequence_classes(active(s, p)), sql(SEQUENCE_SQL, TIMED))
+    add("sequence_classes_first_generation", lambda s, p: findings.sequence_classes(_renamed(s, p), rules.PRECEDENCE_V0, False).select(
+        "case_id", "type_early", "type_late", "pairs", "seconds_apart"),
+        sql(f"""SELECT a.case_id, a.et AS type_early, b.et AS type_late, count(*) AS pairs, CAST(max(epoch_us(a.at)-epoch_us(b.at))//1000000 AS BIGINT) AS seconds_apart
+          FROM v0 a JOIN v0 b ON a.case_id=b.case_id AND (a.et,b.et) IN {V0_TYPES} AND b.at<a.at GROUP BY ALL""", TIMED + "," + V0))
     add("case_findings_summary", _summary, sql(COUNTED.format(ALL_SQL), ALL_EXTRA))
     add("compare_amounts", _amount_pairs, f"""WITH p AS (SELECT o_orderkey AS order_key, CAST(o_totalprice AS DECIMAL(18,2)) AS a, b,
           CASE WHEN o_orderkey%3=0 THEN 'USD' ELSE 'INR' END AS ca, CASE WHEN o_orderkey%5=0 THEN 'INR' WHEN o_orderkey%3=0 THEN 'USD' ELSE 'INR' END AS cb
@@ -350,24 +366,25 @@ def register(add) -> None:
         'HIGH' AS severity FROM orders WHERE o_orderkey%4<>0""")
     add("refund_coverage", _coverage, sql(COVERAGE_SQL))
     add("language_violations", lambda s, p: evaluation.language_violations(_tainted(s, p)),
-        sql(f"""SELECT finding_id, 'fraud' AS word FROM ({MISSING_SQL}) WHERE substr(finding_id,5,1) IN ('0','1') """))
+        sql(f"""SELECT finding_id, 'fraud' AS word FROM ({ALL_SQL}) WHERE substr(finding_id,5,1) IN ('0','1') """, ALL_EXTRA))
     add("citation_violations", lambda s, p: evaluation.citation_violations(_broken(s, p)),
         sql(f"""SELECT finding_id, CASE WHEN substr(finding_id,5,1)='0' THEN 'missing evidence_id' WHEN substr(finding_id,5,1)='1' THEN 'missing original_filename'
-          ELSE 'raw 0..0 offsets' END AS problem FROM ({MISSING_SQL}) WHERE substr(finding_id,5,1) IN ('0','1','2')"""))
+          ELSE 'raw 0..0 offsets' END AS problem FROM ({ALL_SQL}) WHERE substr(finding_id,5,1) IN ('0','1','2')""", ALL_EXTRA))
 
 
 def _tainted(spark, sf):
-    """Advisories of which some are given a forbidden word, to audit the audit."""
-    f = findings.missing_corroboration(active(spark, sf))
+    """Findings of all detectors of which some are given a forbidden word, to audit the audit."""
+    f = session.materialize(all_found(spark, sf), "findings")
     return f.withColumn("title", F.when(F.substring("finding_id", 5, 1).isin("0", "1"), F.concat("title", F.lit(" Fraud"))).otherwise(F.col("title")))
 
 
 def _broken(spark, sf):
-    f = findings.missing_corroboration(active(spark, sf))
+    """Findings of all detectors; the first citation of some is spoiled."""
+    f = session.materialize(all_found(spark, sf), "findings")
     digit = F.substring("finding_id", 5, 1)
     fix = lambda c: c.withField("evidence_id", F.when(digit == "0", "").otherwise(c["evidence_id"])).withField(
         "original_filename", F.when(digit == "1", "").otherwise(c["original_filename"])
     ).withField("char_start", F.when(digit == "2", 0).otherwise(F.coalesce(c["char_start"], F.lit(1)))).withField(
         "char_end", F.when(digit == "2", 0).otherwise(F.coalesce(c["char_end"], F.lit(1)))
     )
-    return f.withColumn("citations", F.transform("citations", fix))
+    return f.withColumn("citations", F.transform("citations", lambda c, k: F.when(k == 0, fix(c)).otherwise(c)))

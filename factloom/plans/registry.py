@@ -22,10 +22,12 @@ def _collect():
 
 
 def queries():
-    from factloom.session import prepare
+    from factloom.session import WIDE_PLANS, prepare
 
     def wrap(fn):
         def run(spark, sf_dir):
+            for key, value in WIDE_PLANS.items():
+                spark.conf.set(key, value)
             return fn(prepare(spark), sf_dir)
 
         return run

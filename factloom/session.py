@@ -33,6 +33,10 @@ def local_session(cores: str | None = None, partitions: int = 8) -> SparkSession
     return builder.getOrCreate()
 
 
+#: Only for the detectors' wide plans, whose many derived columns make inferring filters take minutes.
+WIDE_PLANS = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on (UTC times, adaptive plans)."""
     for key, value in SETTINGS.items():
