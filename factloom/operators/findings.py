@@ -779,7 +779,7 @@ def sequence_classes(active: DataFrame, precedence=None, distinct_documents: boo
     """The collapsed form of the sequence findings: no pair is built.
 
     One row per case, rule and scope: how many pairs of a later milestone dated before an earlier one there are, and
-    the pair that is furthest apart (then the one with the later early event, and event ids decide).
+    the pair that is furthest apart (then the one with the later early event; of equal times the greater early id and the smaller late id).
     """
     precedence = precedence or rules.PRECEDENCE
     kept = _crossing(_sequence(active, precedence, distinct_documents))
@@ -800,9 +800,9 @@ def sequence_classes(active: DataFrame, precedence=None, distinct_documents: boo
     offers = F.filter(F.array(*[
         F.when(
             F.lit(not distinct_documents) | (F.col(f"{e}.evidence_id") != F.col(f"{l}.evidence_id")),
-            F.struct((-gap(e, l)).alias("g"), (-F.unix_micros(F.col(f"{e}.at"))).alias("t"), F.col(f"{e}.event_id").alias("event_a"), F.col(f"{l}.event_id").alias("event_b")),
+            F.struct((-gap(e, l)).alias("g"), (-F.unix_micros(F.col(f"{e}.at"))).alias("t"), F.lit(k).alias("k"), F.col(f"{e}.event_id").alias("event_a"), F.col(f"{l}.event_id").alias("event_b")),
         )
-        for e, l in (("early1", "late1"), ("early1", "late2"), ("early2", "late1"))  # noqa: E741
+        for k, (e, l) in enumerate((("early1", "late1"), ("early1", "late2"), ("early2", "late1")))  # noqa: E741
     ]), lambda o: o["g"].isNotNull())
     pair = F.array_min(offers)
     types = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in precedence]), F.col("rule") + 1)

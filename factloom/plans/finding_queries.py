@@ -284,7 +284,7 @@ def _class_sql() -> str:
 
 SEQUENCE_SQL = """SELECT case_id, ta AS type_early, tb AS type_late,
     CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN '= '||ra WHEN rb IS NULL THEN 'late open' ELSE 'early open' END AS scope, count(*) AS pairs,
-    first(ea ORDER BY ab-aa, aa DESC, ea, eb) AS event_a, first(eb ORDER BY ab-aa, aa DESC, ea, eb) AS event_b,
+    first(ea ORDER BY ab-aa, aa DESC, ea DESC, eb) AS event_a, first(eb ORDER BY ab-aa, aa DESC, ea DESC, eb) AS event_b,
     CAST(max(epoch_us(aa)-epoch_us(ab))//1000000 AS BIGINT) AS seconds_apart
   FROM (SELECT tp.*, x.rk AS ra, y.rk AS rb FROM tp JOIN tm x ON x.event_id=ea AND x.case_id=tp.case_id JOIN tm y ON y.event_id=eb AND y.case_id=tp.case_id) GROUP BY ALL"""
 
