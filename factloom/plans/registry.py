@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["finding_queries", "text_queries", "case_queries", "stream_queries"]
+MODULES = ["finding_queries", "text_queries", "case_queries", "stream_queries", "dataset_queries"]
 
 
 def _collect():

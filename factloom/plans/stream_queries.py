@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from factloom import session
 from factloom.plans import case_tables as ct
-from factloom.streaming import machines, ordered
+from factloom.operators import findings
+from factloom.operators.versions import active_events
+from factloom.plans import finding_queries as fq
+from factloom.streaming import incremental, machines, ordered
 
 SLICES, LAG_SECONDS, AHEAD_SECONDS = 4, 43_200, 315_360_000
 #: Silence after which a document is interrupted; requests of a key and window.
@@ -108,6 +111,26 @@ def _repeat_stream(spark, sf_dir):
     return _run(out, "repeats", "case_id").select("case_id", "user_id", "sha256_hash")
 
 
+def _detect(evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """Two advisories and one rule on pairs: what a batch recomputes is for the caller to choose."""
+    active = session.materialize(active_events(events, evidence), "active")
+    pairs = findings.currency_findings(findings.stored_members(active))
+    return findings.zero_event_findings(evidence, active).unionByName(findings.missing_corroboration(active)).unionByName(pairs)
+
+
+def _findings_stream(spark, sf_dir):
+    """Findings after three batches that deal the events of each case out by a hash."""
+    events, evidence = ct.events(spark, sf_dir), ct.evidence(spark, sf_dir)
+    store = f"{session.shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4().hex[:12]}"
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(4).write.mode("append").parquet(f"{store}/arriving")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{store}/arriving")
+    incremental.findings_stream(arriving, evidence, store, _detect).awaitTermination()
+    kept = incremental.current(spark, store)
+    return kept.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("finding_id").alias("ids"), F.countDistinct("case_id").alias("cases"))
+
+
+_KEPT = " UNION ALL BY NAME ".join(f"({p})" for p in (fq.ZERO_SQL, fq.MISSING_SQL, fq.CURRENCY_SQL))
 _LIFECYCLE = f"""
 RECURSIVE m AS (SELECT 'case_'||(user_id%20) AS case_id, 'evi_'||user_id AS evidence_id, CAST(event_id AS VARCHAR) AS seq,
     CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'EXTRACTING' WHEN 'purchase' THEN 'READY'
@@ -174,3 +197,5 @@ def register(add) -> None:
         f AS (SELECT *, first_value(evidence_id) OVER (PARTITION BY case_id, user_id, sha256_hash ORDER BY t, evidence_id) AS first FROM u)
         SELECT case_id, user_id, sha256_hash, t AS "at", evidence_id, first AS canonical_evidence_id, first<>evidence_id AS is_duplicate FROM f""")
     add("stream_distinct_uploads", _repeat_stream, f"WITH {_UPLOADS} SELECT DISTINCT case_id, user_id, sha256_hash FROM u")
+    add("stream_findings", _findings_stream, ct.sql(
+        f"SELECT kind, severity, count(*) AS findings, count(DISTINCT finding_id) AS ids, count(DISTINCT case_id) AS cases FROM ({_KEPT}) GROUP BY ALL", fq.REFX))

@@ -142,3 +142,32 @@ def test_uploads_in_any_order(spark):
     assert len(got) == len(first) and {(r.case_id, r.user_id, r.sha256_hash) for r in got} == set(first)
     stored = spark.createDataFrame([("c0", "u", "h1")], "case_id string, user_id string, sha256_hash string")
     assert machines.new_uploads(spark.createDataFrame(rows, schema), stored).where("case_id = 'c0' and sha256_hash = 'h1'").count() == 0
+
+
+def test_findings_kept_up_to_date(spark):
+    """Whatever the order and the cut of the batches, and if one comes twice, the table is what all events give."""
+    from factloom.streaming import incremental
+
+    def detect(evidence, events):
+        # a reference that two events of a case share; and documents without events
+        pairs = events.groupBy("case_id", "ref").agg(F.count("*").alias("n")).where("n > 1")
+        silent = evidence.join(events.select("case_id", "evidence_id"), ["case_id", "evidence_id"], "left_anti")
+        return pairs.select("case_id", F.concat(F.lit("f-"), "ref").alias("finding_id"), "n").unionByName(
+            silent.select("case_id", F.concat(F.lit("s-"), "evidence_id").alias("finding_id"), F.lit(0).cast("long").alias("n"))
+        )
+
+    rng = random.Random(6)
+    events = [(f"c{rng.randint(0, 7)}", f"d{rng.randint(0, 3)}", f"e{k}", f"r{rng.randint(0, 9)}") for k in range(90)]
+    evidence = spark.createDataFrame([(f"c{c}", f"d{d}") for c in range(8) for d in range(5)], "case_id string, evidence_id string")
+    schema = "case_id string, evidence_id string, event_id string, ref string"
+    want = {tuple(r) for r in detect(evidence, spark.createDataFrame(events, schema)).collect()}
+    for seed, cuts in ((1, (30, 60)), (2, (1, 80))):
+        random.Random(seed).shuffle(events)
+        store = f"{session.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        assert incremental.current(spark, store) is None
+        parts = [events[: cuts[0]], events[cuts[0] : cuts[1]], [], events[cuts[1] :] + events[:3]]
+        for number, part in enumerate(parts):
+            for _ in range(2 if number == 1 else 1):
+                incremental.update(spark.createDataFrame(part, schema), number, evidence, store, detect, 4)
+        got = incremental.current(spark, store).select("case_id", "finding_id", "n").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
