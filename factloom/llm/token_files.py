@@ -11,7 +11,8 @@ Shard bytes (little-endian): b"PFR1", ids u32, blocks u32, then for each block i
 u32; a block is: minimum u32, width u8, exceptions u16, planes (32 bytes for each bit),
 positions of exceptions u8 each, their differences u32 each.
 
-Defined results: a null text is the empty text, which gives the end id alone; rows that
+Defined results: special tokens' strings inside a text are those tokens, as the library takes them
+by default; a null text is the empty text, which gives the end id alone; rows that
 repeat a key are written each, next to one another; rows without a key come first;
 other columns are not used. An empty table gives no shards and an empty result.
 """
@@ -121,13 +122,17 @@ class Encoder:
 
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.by_word: dict[str, bytes] = {}
 
+    def _special_in(self, text: str) -> bool:
+        small = text.lower()
+        return any(t.lower() in small for t in self.special)
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
@@ -166,7 +171,9 @@ class Encoder:
         """
         known, cut, missing = self.known, [], set()
         for text in texts:
-            chunks = None if any(c in text for c in _CONTROLS) else text.split()
+            # a special token's string in a text is that token, wherever it stands; such texts go through the tokenizer whole
+            whole = any(c in text for c in _CONTROLS) or ("<" in text and self._special_in(text))
+            chunks = None if whole else text.split()
             ids = list(map(known.get, chunks)) if chunks is not None else None
             if ids and None in ids:
                 missing.update([c for c, x in zip(chunks, ids) if x is None])
