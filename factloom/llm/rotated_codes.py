@@ -4,8 +4,8 @@ A vector is turned by random rotations and the signs of its coordinates are its
 Bits of the codes are cut into bands; vectors with the same label that share a band meet.
 A code with its correction factor, the inner product of the vector and the code's own
 vector, gives an unbiased estimate of an inner product with an error bound: pairs whose
-estimate and bound lie under the threshold are settled, pairs above it are linked, all
-others, and so every pair near the threshold, are computed again in double precision.
+estimate and bound lie under the threshold are settled, all others are computed again in
+double precision, so none is linked by its estimate alone.
 
 The bits of a band follow the logarithm of the largest label's size, so the vectors that
 meet stay few, and the number of bands is such that a pair at the threshold shares none
@@ -139,27 +139,32 @@ def _cell(cosine: float, bits: int, bands: int):
 
     def run(group: pa.Table) -> pa.Table:
         dim, band = group.column("dim")[0].as_py(), group.column("band")[0].as_py()
+        none = pa.table({"id": group.column("id").slice(0, 0), "n": pa.array([], pa.int64()), "to": group.column("id").slice(0, 0)})
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         own, weight = np.array(group.column("own")), np.array(group.column("m"))
         vectors = np.frombuffer(b"".join(group.column("vector").to_pylist())).reshape(-1, dim)
         unit, codes = _unit(vectors), codes_for(dim, bits, bands)
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         value, bound = codes.estimate(*codes.code(unit[left]), unit[right])
-        linked = value - bound[:, None] >= cosine
-        open_ = ~linked & (value + bound[:, None] >= cosine)
-        i, j = np.nonzero(open_)
+        linked = np.zeros(value.shape, bool)
+        i, j = np.nonzero(value + bound[:, None] >= cosine)  # the bound rules pairs out; every link is computed
         norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         for at in range(0, len(i), 1 << 15):
             a, b = left[i[at : at + (1 << 15)]], right[j[at : at + (1 << 15)]]
             exact = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b])
             linked[i[at : at + (1 << 15)], j[at : at + (1 << 15)]] = exact >= cosine
         linked &= left[:, None] < right[None] if x == y else True
-        keys = codes.keys(unit)
+        i, j = np.nonzero(linked)
+        if not len(i):
+            return none
+        # a link counts in the first band that its rows share: only linked rows need all their keys
+        met = np.unique(np.concatenate([left[i], right[j]]))
+        keys = codes.keys(unit[met])
+        a, b = np.searchsorted(met, left[i]), np.searchsorted(met, right[j])
         first = np.zeros(linked.shape, bool)
-        for row in np.flatnonzero(linked.any(axis=1)).tolist():
-            to = np.flatnonzero(linked[row])
-            same = keys[right[to]] == keys[left[row]]
-            first[row, to] = keys[left[row]][same.argmax(axis=1)] == band
+        for at in range(0, len(i), 1 << 15):
+            p, q = keys[a[at : at + (1 << 15)]], keys[b[at : at + (1 << 15)]]
+            first[i[at : at + (1 << 15)], j[at : at + (1 << 15)]] = p[np.arange(len(p)), (p == q).argmax(axis=1)] == band
         count = np.zeros(len(own), np.int64)
         np.add.at(count, left, (first * weight[right][None]).sum(axis=1))
         np.add.at(count, right, (first * weight[left][:, None]).sum(axis=0))
