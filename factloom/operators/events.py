@@ -148,10 +148,29 @@ def detect_triggers(docs: DataFrame, lexicon: dict[str, list[str]] | None = None
     )
 
 
+def _stated_somewhere(text: Column, m: Column) -> Column:
+    """Whether a mention that isn't verbatim at its place is in the text in a usual way of writing it.
+
+    An amount as plain or grouped digits, with its currency's code or sign before it; a time in its normal form.
+    """
+    value, code = m["money"]["value"], m["money"]["currency"]
+    plain = value.cast("string")
+    short = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    grouped = F.format_number(value, 2)
+    sign = F.when(code == "INR", "₹").when(code == "USD", "$")
+    whole = F.when(value == F.floor(value), F.format_number(value, 0))
+    forms = [plain, F.when(F.contains(plain, F.lit(".")), short).otherwise(plain), grouped, whole]
+    forms += [F.concat(c, F.lit(gap), n) for c, gap in ((code, " "), (code, ""), (sign, ""), (F.when(code == "INR", sign), " ")) for n in (grouped, plain)]
+    amount = F.exists(F.array(*forms), lambda f: F.coalesce(F.contains(text, f), F.lit(False)))
+    time = F.coalesce(F.contains(text, m["norm_text"]), F.lit(False))
+    return F.when(m["etype"] == "MONETARY_AMOUNT", amount).when(m["etype"].isin("DATE", "DATETIME", "TIME", "RELATIVE_TIME"), time).otherwise(False)
+
+
 def _sentences_with_mentions(annotated: DataFrame) -> DataFrame:
     """Sentence rows with the mentions that any trigger of the sentence could reach."""
     reach = rules.MAX_ARGUMENT_DISTANCE
-    rows = annotated.select(
+    known = F.transform("mentions", lambda m: m.withField("grounded", F.coalesce(m["grounded"], F.lit(False)) | _stated_somewhere(F.col("text"), m)))
+    rows = annotated.withColumn("mentions", known).select(
         "evidence_id", "mentions", F.posexplode(sentence_array(F.col("text"))).alias("sent_ix", "_s")
     )
     near = F.filter(
@@ -211,12 +230,16 @@ def bind_slots(rows: DataFrame) -> DataFrame:
         "refund_reference": F.col("_refund.raw"), "actor": F.col("_actor.raw"),
         "temporal_information": F.coalesce("_when.norm_text", "_when.raw"),
         "participants": F.map_from_arrays(names, F.transform(names, kind_of)),
+        "argument_provenance": F.struct(*[
+            F.when(F.col(m).isNotNull(), refs.natural_id("ent_", F.col("evidence_id"), F.col(f"{m}.etype"), F.col(f"{m}.start"), F.col(f"{m}.end"))).alias(f"{name}_entity_id")
+            for name, m in (("amount", "_amount"), ("order", "_order"), ("transaction", "_txn"), ("refund", "_refund"), ("temporal", "_when"), ("actor", "_actor"))
+        ]),
     })
 
 
 SLOTS = [
     "actor", "participants", "temporal_information", "amount_value", "amount_currency", "order_reference",
-    "transaction_reference", "refund_reference",
+    "transaction_reference", "refund_reference", "argument_provenance",
 ]
 EVENT = [
     "evidence_id", "event_id", "sent_ix", "event_type", "trigger_raw_text", "char_start", "char_end", "polarity", "modality",
@@ -296,6 +319,20 @@ def check_grounding(spans_df: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def grounding_errors(predicted: DataFrame, docs: DataFrame) -> DataFrame:
+    """All that is wrong with externally predicted events(evidence_id, sentence, start, end, raw): adds ``errors``.
+
+    The sentence must stand in the document as it is, the document must exist, and the trigger must be what
+    stands at its offsets.
+    """
+    j = check_grounding(predicted, docs.select("evidence_id", "text")).join(docs.select("evidence_id", "text"), "evidence_id", "left")
+    verbatim = F.coalesce(F.contains("text", F.col("sentence")), F.lit(False))
+    found = F.array(
+        F.when(~verbatim, "Sentence text does not exist verbatim in EvidenceText raw text."), F.col("grounding_error")
+    )
+    return j.select(*predicted.columns, F.filter(found, lambda e: e.isNotNull()).alias("errors"))
+
+
 def decision_state(errors: Column, reasons: Column, confidence: Column) -> Column:
     soft = F.exists(errors, lambda e: e.rlike("verbatim|mismatch|Missing required SourceReference"))
     return (
