@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import batches
+from factloom.llm import batches, words
 from factloom.session import write_shared
 
 BLOCK = 256
@@ -41,12 +41,9 @@ HELD = 0.9
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 20
 CACHE_ENTRIES = 500_000
-CACHE_CHARS = 64
 #: Words that go through the tokenizer as one text.
 WORDS_TOGETHER = 256
 _MAGIC = b"PFR1"
-#: str.split() also cuts at these; the tokenizer doesn't.
-_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: What a word can be made of here; a chunk with anything else goes through the tokenizer as it is.
 _PLAIN = regex.compile("[!-~¡-ſ]+")
 _WORD_OR_BREAK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
@@ -118,7 +115,11 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 class Encoder:
-    """Encoding by a tokenizer of the tokenizers library, words met before looked up."""
+    """Encoding by a tokenizer of the tokenizers library; chunks between white space met before are looked up.
+
+    Chunks of many texts are hashed at once (64 bits, see ``words``) and found in a table of open addresses that
+    points into a pool of ids.
+    """
 
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_str(content.decode())
@@ -126,71 +127,127 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.by_word: dict[str, bytes] = {}
+        self._empty()
 
-    def _special_in(self, text: str) -> bool:
-        small = text.lower()
-        return any(t.lower() in small for t in self.special)
+    def _empty(self) -> None:
+        self.slots = np.zeros(4 * CACHE_ENTRIES, np.int64)  # number of an entry, 0 for none
+        self.hashes = np.zeros(2 * CACHE_ENTRIES, np.uint64)
+        self.start = np.zeros(2 * CACHE_ENTRIES + 1, np.int64)
+        self.pool = np.zeros(8 * CACHE_ENTRIES, np.uint32)
+        self.entries, self.pooled = 0, 0
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words; many go through the tokenizer as one text, cut after each id that ends a word."""
-        groups = [words[k : k + WORDS_TOGETHER] for k in range(0, len(words), WORDS_TOGETHER)]
-        out = []
-        for group, raw in zip(groups, self._direct([" ".join(g) for g in groups])):
-            ends = (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1).tolist()
-            if len(ends) == len(group):
-                out += [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
-            else:
-                out += self._direct(group)
-        return out
+        return [np.array(e.ids, np.uint32) for e in encoded]
 
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks between white space; words of Latin letters are encoded once each."""
-        plain, other = [], []
-        for c in chunks:
-            (plain if _PLAIN.fullmatch(c) else other).append(c)
+    def _plain(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and sizes of chunks of Latin letters: many go through the tokenizer as one text, cut by their numbers of words."""
         # a line break keeps the chunks apart, so one search cuts them all
-        cut = iter(_WORD_OR_BREAK.findall("\n".join([c.lower() for c in plain]) + "\n"))
-        known, pieces = self.by_word, [list(iter(cut.__next__, "\n")) for _ in plain]
-        missing = list({w for words in pieces for w in words if w not in known})
-        made = dict(zip(missing, self._words(missing))) if missing else {}
-        out = {c: b"".join([known.get(w) or made[w] for w in words]) for c, words in zip(plain, pieces)}
-        out.update(zip(other, self._direct(other)) if other else ())
-        _keep(known, made)
-        return out
+        cut = _WORD_OR_BREAK.findall("\n".join(chunks).lower() + "\n")
+        lengths = np.diff(np.flatnonzero(np.array(cut) == "\n"), prepend=-1) - 1
+        groups = [slice(k, k + WORDS_TOGETHER) for k in range(0, len(chunks), WORDS_TOGETHER)]
+        flat, sizes = [], []
+        for group, ids in zip(groups, self._direct([" ".join(chunks[g]) for g in groups])):
+            ends, count = np.flatnonzero(self.last[ids]) + 1, lengths[group]
+            if len(ends) == count.sum() and count.all():
+                flat.append(ids)
+                sizes.append(np.diff(ends[np.cumsum(count) - 1], prepend=0))
+            else:
+                each = self._direct(chunks[group])
+                flat += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return flat, sizes
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry numbers of hashes; 0 where there is none."""
+        at = (hashes % np.uint64(len(self.slots))).astype(np.int64)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found > 0) & (self.hashes[found - 1] != hashes))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slots)
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] > 0) & (self.hashes[found[open_] - 1] != hashes[open_])]
+        return found
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        first, last, pooled = self.entries, self.entries + len(size), self.pooled + len(ids)
+        if pooled > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(pooled, np.uint32)])
+        if last > len(self.hashes):  # a very long text has more chunks than the table is made for
+            self.hashes = np.concatenate([self.hashes, np.zeros(last, np.uint64)])
+            self.start = np.concatenate([self.start, np.zeros(last, np.int64)])
+            self.slots = np.zeros(3 * len(self.hashes), np.int64)
+            self._place(np.arange(1, first + 1))
+        self.hashes[first:last] = hashes
+        self.pool[self.pooled : pooled] = ids
+        self.start[first + 1 : last + 1] = self.pooled + np.cumsum(size)
+        self.entries, self.pooled = last, pooled
+        self._place(np.arange(first + 1, last + 1))
+
+    def _place(self, number: np.ndarray) -> None:
+        at = (self.hashes[number - 1] % np.uint64(len(self.slots))).astype(np.int64)
+        while len(number):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = number[free]  # of several for one place the last stays
+            rest = self.slots[at] != number
+            number, at = number[rest], (at[rest] + 1) % len(self.slots)
+
+    def _encoded(self, hashes: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks' hashes in the order in which they were encoded, all ids, and how many each has."""
+        fits = np.array([_PLAIN.fullmatch(c) is not None for c in chunks], bool)
+        flat, sizes = self._plain([chunks[k] for k in np.flatnonzero(fits).tolist()])
+        other = self._direct([chunks[k] for k in np.flatnonzero(~fits).tolist()])
+        flat += other
+        sizes.append(np.array([len(x) for x in other], np.int64))
+        return np.concatenate([hashes[fits], hashes[~fits]]), np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate(sizes)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join(raw) + b"\n"
+        begin, hashes = words.hashed(data)
+        if self.entries > CACHE_ENTRIES or self.pooled > len(self.pool) // 2:
+            self._empty()
+        entry = self._find(hashes)
+        missing = np.flatnonzero(entry == 0)
+        if len(missing):
+            space = np.flatnonzero(words.spaces(data))
+            new, first = np.unique(hashes[missing], return_index=True)
+            at = begin[missing[first]]
+            until = space[np.searchsorted(space, at)]
+            chunks = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at.tolist(), until.tolist())]
+            self._add(*self._encoded(new, chunks))
+            entry = self._find(hashes)
+        size = self.start[entry] - self.start[entry - 1]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.start[entry - 1] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raw]))
+        cut = np.concatenate(([0], ends))[cut].tolist()
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip([0, *cut], cut)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without special tokens.
 
-        The tokenizer drops white space and joins nothing across it, so chunks are encoded on their own.
+        The tokenizer drops white space and joins nothing across it, so chunks are encoded on their own. A special
+        token's string in a text is that token, wherever it stands; such texts go through the tokenizer whole.
         """
-        known, cut, missing = self.known, [], set()
-        for text in texts:
-            # a special token's string in a text is that token, wherever it stands; such texts go through the tokenizer whole
-            whole = any(c in text for c in _CONTROLS) or ("<" in text and self._special_in(text))
-            chunks = None if whole else text.split()
-            ids = list(map(known.get, chunks)) if chunks is not None else None
-            if ids and None in ids:
-                missing.update([c for c, x in zip(chunks, ids) if x is None])
-            cut.append((text, chunks, ids))
-        made = self._chunks(list(missing)) if missing else {}
-        _keep(known, made)
-        return [
-            self._direct([text])[0] if chunks is None
-            else b"".join(ids if None not in ids else [made[c] if x is None else x for c, x in zip(chunks, ids)])
-            for text, chunks, ids in cut
-        ]
-
-
-def _keep(cache: dict[str, bytes], new: dict[str, bytes]) -> None:
-    if len(cache) + len(new) > CACHE_ENTRIES:
-        cache.clear()
-    cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+        whole = [any(t in text for t in self.special) if "<" in text else False for text in texts]
+        out: list = [b""] * len(texts)
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            if whole[k]:
+                out[k] = self._direct([text])[0].astype("<u4").tobytes()
+                continue
+            group.append(k)
+            size += len(text)
+            if size >= words.CHUNK_BYTES // 2:
+                for g, ids in zip(group, self._together([texts[g] for g in group])):
+                    out[g] = ids
+                group, size = [], 0
+        if group:
+            for g, ids in zip(group, self._together([texts[g] for g in group])):
+                out[g] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

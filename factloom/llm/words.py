@@ -47,6 +47,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def spaces(buffer: bytes) -> np.ndarray:
+    """Whether each byte is white space."""
+    return _SPACE[np.frombuffer(buffer, np.uint8)]
+
+
 def hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words of a lower-cased buffer that ends in white space."""
     b = np.frombuffer(buffer, np.uint8)

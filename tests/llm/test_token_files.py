@@ -51,3 +51,12 @@ def test_files(spark, monkeypatch):
     assert lists[61] == [2] and len(lists) == 62
     empty = tf.write_token_files(docs.limit(0), PATH, 2)
     assert tf.digests(empty, spark, "bigint").count() == 0
+
+
+def test_tables_grow_and_start_anew(monkeypatch):
+    monkeypatch.setattr(tf, "CACHE_ENTRIES", 16)
+    other, own, rng = Tokenizer.from_file(PATH), tf.Encoder(open(PATH, "rb").read()), random.Random(6)
+    for n in (5, 40, 400, 3, 2000):
+        texts = [" ".join(rng.choice(["the", "aé", "xy!"]) + str(rng.randint(0, n)) for _ in range(n)) for _ in range(3)]
+        want = [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
