@@ -258,6 +258,12 @@ def _dossiers(spark, sf):
     )
 
 
+def _chips(spark, sf):
+    found, history = _decided(spark, sf)
+    evidence = ct.evidence(spark, sf)
+    return dossier.report_chips(ct.cases(spark, sf), evidence, dossier.timeline(ct.events(spark, sf), evidence), found, history)
+
+
 MANIFEST = "(SELECT case_id, sha256(case_id||'::'||strftime(any_value(case_t.created_at),'%Y-%m-%dT%H:%M:%S+00:00')||'::'||coalesce(string_agg(sha256_hash,'::' ORDER BY sha256_hash),'')) AS manifest_hash FROM case_t LEFT JOIN evi USING (case_id) GROUP BY 1)"
 PER_CASE = "LEFT JOIN (SELECT case_id, count(*) AS d FROM evi GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS e FROM evt GROUP BY 1) USING (case_id) LEFT JOIN (SELECT case_id, count(*) AS f FROM ms GROUP BY 1) USING (case_id)"
 
@@ -282,6 +288,11 @@ def _dossier(add) -> None:
           ' verified event assertion(s). Automated reasoning identified '||coalesce(f,0)||' potential inconsistency or documentation advisory findings. Human review records indicate 0 confirmed inconsistency(ies), 0 resolved matter(s), '||coalesce(f,0)||
           ' dismissed item(s), and 0 pending review. All citations refer to exact source document passages. This dossier organizes evidence and does not constitute a legal finding of fault or liability.' AS executive_summary
           FROM case_t {PER_CASE}""", HISTORY))
+    add("report_rows", lambda s, p: dossier.report_rows(dossier.inventory(ct.evidence(s, p))),
+        sql("""SELECT case_id, original_filename[:32] AS filename, evidence_id[:16] AS document_id, printf('%.1f KB', file_size_bytes/1024.0)||' • '||status AS size_status,
+          sha256_hash[:18]||'...' AS digest FROM evi"""))
+    add("report_chips", _chips, sql(f"""SELECT case_id, unnest(['Documents','Events','Findings','Adjudications']) AS label,
+          unnest([CAST(coalesce(d,0) AS VARCHAR), CAST(coalesce(e,0) AS VARCHAR), CAST(coalesce(f,0) AS VARCHAR), CAST(3*coalesce(f,0) AS VARCHAR)]) AS value FROM case_t {PER_CASE}""", HISTORY))
     add("manifest_hashes", lambda s, p: dossier.manifests(ct.cases(s, p), ct.evidence(s, p)), sql(f"SELECT * FROM {MANIFEST}"))
     add("dossiers", _dossiers,
         sql(f"SELECT case_id, manifest_hash, coalesce(d,0) AS documents, coalesce(e,0) AS events, coalesce(f,0) AS findings, 3*coalesce(f,0) AS reviews FROM case_t JOIN {MANIFEST} m USING (case_id) {PER_CASE}", HISTORY))
