@@ -120,7 +120,7 @@ def _detect(evidence: DataFrame, events: DataFrame) -> DataFrame:
 
 def _findings_stream(spark, sf_dir):
     """Findings after three batches that deal the events of each case out by a hash."""
-    events, evidence = ct.events(spark, sf_dir), ct.evidence(spark, sf_dir)
+    events, evidence = ct.stored(spark, sf_dir, "events", ct.events), ct.stored(spark, sf_dir, "evidence", ct.evidence)
     store = f"{session.shared_folder(spark).rstrip('/')}/findings-{uuid.uuid4().hex[:12]}"
     for k in range(3):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(4).write.mode("append").parquet(f"{store}/arriving")
