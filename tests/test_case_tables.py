@@ -1,7 +1,7 @@
 """The derived case tables: how their rows lie, so that joins move little."""
 
 from factloom import session
-from factloom.operators import versions
+from factloom.operators import findings, versions
 from factloom.plans import case_tables as ct
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,3 +26,26 @@ def test_a_line_that_occurs_twice_gives_its_events_twice_and_its_document_once(s
     shipped = lines.where("l_orderkey % 50 <> 7")
     assert events.where("event_type = 'ITEM_SHIPPED' AND event_id LIKE 'evt_%'").count() == shipped.count()
     assert evidence.where("evidence_id LIKE 'evi_s%'").count() == lines.select("l_orderkey", "l_suppkey").distinct().count()
+
+
+def _written(monkeypatch):
+    tables, write = [], findings.materialize
+    monkeypatch.setattr(findings, "materialize", lambda df, name: tables.append((name, df)) or write(df, name))
+    return tables
+
+
+def test_sequence_classes_write_counts_by_instant_only(spark, monkeypatch):
+    tables = _written(monkeypatch)
+    active = versions.active_events(ct.events(spark, SMALL), ct.evidence(spark, SMALL))
+    findings.sequence_classes(active).count()
+    assert {name for name, _ in tables} == {"instants"}
+    assert all("n_early" in df.columns and "source_name" not in df.columns for _, df in tables)
+
+
+def test_written_events_have_no_column_that_nothing_reads(spark, monkeypatch):
+    tables = _written(monkeypatch)
+    active = versions.active_events(ct.events(spark, SMALL), ct.evidence(spark, SMALL))
+    findings.check_temporal(active).count()
+    assert {c for _, df in tables for c in df.columns}.isdisjoint({"trigger_raw_text", "source_name", "char_start"})
+    findings.stored_members(active)
+    assert "processing_run_id" not in dict(tables)["active"].columns
