@@ -34,10 +34,10 @@ def _written(monkeypatch):
     return tables
 
 
-def test_sequence_classes_write_counts_by_instant_only(spark, monkeypatch):
+def test_sequence_classes_of_whole_cases_write_counts_by_instant_only(spark, monkeypatch):
     tables = _written(monkeypatch)
     active = versions.active_events(ct.events(spark, SMALL), ct.evidence(spark, SMALL))
-    findings.sequence_classes(active).count()
+    findings.sequence_classes(active, distinct_documents=False).count()
     assert {name for name, _ in tables} == {"instants"}
     assert all("n_early" in df.columns and "source_name" not in df.columns for _, df in tables)
 
