@@ -1,7 +1,7 @@
 """The derived case tables: how their rows lie, so that joins move little."""
 
 from factloom import session
-from factloom.operators import findings, versions
+from factloom.operators import findings, skew, versions
 from factloom.plans import case_tables as ct
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,3 +49,18 @@ def test_written_events_have_no_column_that_nothing_reads(spark, monkeypatch):
     assert {c for _, df in tables for c in df.columns}.isdisjoint({"trigger_raw_text", "source_name", "char_start"})
     findings.stored_members(active)
     assert "processing_run_id" not in dict(tables)["active"].columns
+
+
+def test_pairs_of_a_case_are_built_where_its_events_lie(spark, monkeypatch):
+    from factloom.plans import finding_queries as fq
+    session.prepare(spark)
+    tables, write = [], skew.materialize
+    monkeypatch.setattr(skew, "materialize", lambda df, name: tables.append(name) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = findings.date_findings(fq.members(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Window" in plan and "Exchange" not in plan.split("Generate explode")[0]
+    assert tables == ["large"]

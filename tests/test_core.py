@@ -100,3 +100,25 @@ def test_classifier_and_stratified_split(spark):
     model = classifier.train_classifier(part("train"), part("val"))
     got = classifier.classify(model, part("test").unionByName(spark.createDataFrame([(999, None, None)], "id long, label string, text string")))
     assert got.where("label = predicted").count() == 15 and got.count() == 16
+
+
+def test_pairs_by_size_are_those_of_the_classes(spark):
+    data = [(g, k // 2, k % 4 if k % 5 else None) for g, n in (("a", 9), ("b", 3), ("c", 23)) for k in range(n)]
+    df, differ = spark.createDataFrame(data, "g string, uid long, v long"), F.coalesce(F.col("a_v") != F.col("b_v"), F.lit(False))
+    found = lambda fn, block: sorted(tuple(r) for r in fn(df, ["g"], ["v"], differ, F.lit(True), "uid", block).select("g", "a_uid", "a_v", "b_uid", "b_v").collect())
+    want = found(skew.discordant_pairs, 1000)
+    assert want and all(found(skew.pairs_by_size, block) == want for block in (2, 10, 1000))
+
+
+def test_comparable_events_know_their_other_reference(spark):
+    data = [("c", f"e{k}", f"d{d}", o, t, k) for k, (d, o, t) in enumerate([(1, "ORD-1", "TXN-9"), (2, "ord 1", "TXN-9"), (2, "ORD-1", "TXN-8"), (3, None, "TXN-9"), (3, "ORD-5", "ORD-5")])]
+    active = spark.createDataFrame(data, "case_id string, event_id string, evidence_id string, order_reference string, transaction_reference string, created_at long")
+    for c in ("event_type", "decision_state", "trigger_raw_text", "temporal_information", "amount_currency", "polarity", "source_name"):
+        active = active.withColumn(c, F.lit(""))
+    active = active.withColumns({"char_start": F.lit(0), "char_end": F.lit(0), "page_number": F.lit(1), "amount_value": F.lit(1), "model_confidence": F.lit(1.0)})
+    got = {(r.event_id, r.ref_key): (r.group_size, r.display_ref, r.other_rank and r.other_rank.ord.event_id)
+           for r in findings.comparable_events(active).collect()}
+    assert got == {
+        ("e0", "ORD1"): (3, "ORD-1", "e0"), ("e1", "ORD1"): (3, "ORD-1", "e0"), ("e2", "ORD1"): (3, "ORD-1", None),
+        ("e0", "TXN9"): (3, "TXN-9", "e0"), ("e1", "TXN9"): (3, "TXN-9", "e0"), ("e3", "TXN9"): (3, "TXN-9", None),
+    }
