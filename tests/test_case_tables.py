@@ -2,7 +2,7 @@
 
 from factloom import session
 from factloom.operators import findings, skew, versions
-from factloom.plans import case_tables as ct
+from factloom.plans import case_tables as ct, text_corpus
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,3 +64,11 @@ def test_pairs_of_a_case_are_built_where_its_events_lie(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Window" in plan and "Exchange" not in plan.split("Generate explode")[0]
     assert tables == ["large"]
+
+
+def test_rendered_documents_are_dealt_out_by_their_number(spark, monkeypatch):
+    orders = ct.table(spark, SMALL, "orders")
+    monkeypatch.setattr(text_corpus, "DOCUMENTS_PER_TASK", 100)
+    made = text_corpus._documents(spark, SMALL)
+    assert made.rdd.getNumPartitions() == -(-orders.count() // 100) > 1
+    assert made.count() == orders.count()
