@@ -72,3 +72,10 @@ def test_rendered_documents_are_dealt_out_by_their_number(spark, monkeypatch):
     made = text_corpus._documents(spark, SMALL)
     assert made.rdd.getNumPartitions() == -(-orders.count() // 100) > 1
     assert made.count() == orders.count()
+
+
+def test_all_findings_write_neither_events_nor_their_index(spark, monkeypatch):
+    session.prepare(spark)
+    tables = _written(monkeypatch)
+    findings.all_findings(ct.evidence(spark, SMALL), ct.events(spark, SMALL, "case_id"))
+    assert {"active", "members"}.isdisjoint(name for name, _ in tables)
