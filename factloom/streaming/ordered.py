@@ -38,50 +38,62 @@ class Machine:
         return None
 
 
+#: Groups that a stream's keys are dealt into. A call to the state costs far more than a message, and a group needs a few.
+GROUPS = 1024
+
+
 class _Ordered(StatefulProcessor):
-    """Runs a machine for each key as the watermark moves on."""
+    """Runs a machine for each key of a group as the watermark moves on.
 
-    def __init__(self, machine: Machine, keys: list[str], chained: bool):
+    The earliest message or wake of a group has a timer, the others wait with it: what is due then is worked off at once.
+    """
+
+    def __init__(self, machine: Machine, keys: list[str], types: list[str], chained: bool):
         self.machine, self.keys, self.chained = machine, keys, chained
+        self.ddl = ", ".join(f"{k} {t}" for k, t in zip(keys, types))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("state", "held string")
-        self.waiting = handle.getListState("waiting", "at long, seq string, message string")
+        self.held = handle.getListState("states", f"{self.ddl}, held string, wake long")
+        self.waiting = handle.getListState("waiting", f"{self.ddl}, at long, seq string, message string")
 
     def handleInputRows(self, key, rows, timerValues):
-        times, new = set(), []
-        for row in rows:
-            new.append((row.at, row.seq, row.message))
-            times.add(row.at // 1000 + 1)
+        new = [(*(row[k] for k in self.keys), row.at, row.seq, row.message) for row in rows]
         self.waiting.appendList(new)
-        for ms in times:
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(min(w[-3] for w in new) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(w) for w in self.waiting.get())
-        ready = [w for w in waiting if w[0] <= now]
-        state = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        now, n = timerValues.getCurrentWatermarkInMs() * 1000, len(self.keys)
+        ready, rest = {}, []
+        for w in map(tuple, self.waiting.get()):
+            if w[n] <= now:
+                ready.setdefault(w[:n], []).append(w[n:])
+            else:
+                rest.append(w)
+        states = {h[:n]: h[n:] for h in map(tuple, self.held.get())}
+        due = dict.fromkeys([*ready, *(k for k, (_, wake) in states.items() if wake is not None and wake <= now)])
         out = []
-        for at, seq, message in ready:
-            body = {"at": at, "seq": seq} | json.loads(message)
-            out += self.machine.idle(state, at)
-            out += self.machine.step(state, body)
-        out += self.machine.idle(state, now + 1)
-        if ready:
-            rest = waiting[len(ready) :]
+        for k in due:
+            state, rows = json.loads(states[k][0]) if k in states else {}, []
+            for at, seq, message in sorted(ready.get(k, ())):
+                rows += self.machine.idle(state, at)
+                rows += self.machine.step(state, {"at": at, "seq": seq} | json.loads(message))
+            rows += self.machine.idle(state, now + 1)
+            states[k] = (json.dumps(state), self.machine.wake(state))
+            out += [(k, row) for row in rows]
+        if due:
+            self.held.put([(*k, *state) for k, state in states.items()])
             if rest:
                 self.waiting.put(rest)
-            else:
+            elif ready:
                 self.waiting.clear()
-        if (wake := self.machine.wake(state)) is not None and wake > now:
-            self.handle.registerTimer(wake // 1000 + 1)
-        self.held.update((json.dumps(state),))
+            later = [w[n] for w in rest] + [wake for _, wake in states.values() if wake is not None and wake > now]
+            if later:
+                self.handle.registerTimer(min(later) // 1000 + 1)
         known = {"time": datetime.fromtimestamp(now // 1000 / 1000 + 0.001, timezone.utc)} if self.chained else {}
-        for row in out:
-            yield Row(**dict(zip(self.keys, key)), **row, **known)
+        for k, row in out:
+            yield Row(**dict(zip(self.keys, k)), **row, **known)
 
     def close(self) -> None:
         pass
@@ -97,7 +109,8 @@ class _AtOnce(StatefulProcessor):
         self.held = handle.getValueState("state", "held string")
 
     def handleInputRows(self, key, rows, timerValues):
-        state = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        held = self.held.get()
+        state = json.loads(held[0]) if held else {}
         for at, seq, message in sorted((row.at, row.seq, row.message) for row in rows):
             for row in self.machine.step(state, {"at": at, "seq": seq} | json.loads(message)):
                 yield Row(**dict(zip(self.keys, key)), **row)
@@ -124,8 +137,9 @@ def stream(rows: DataFrame, machine: Machine, keys: list[str], at: str, seq: str
     ``chained`` adds ``time``, when an outcome was known, as the event time of a machine that reads this one's rows.
     """
     held = _messages(rows.withWatermark(at, delay) if delay else rows, keys, at, seq, columns)
-    return held.groupBy(*keys).transformWithState(
-        statefulProcessor=_Ordered(machine, keys, chained), outputStructType=_schema(rows, keys, machine) + (", time timestamp" if chained else ""),
+    types = [rows.schema[k].dataType.simpleString() for k in keys]
+    return held.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(GROUPS))).groupBy("_group").transformWithState(
+        statefulProcessor=_Ordered(machine, keys, types, chained), outputStructType=_schema(rows, keys, machine) + (", time timestamp" if chained else ""),
         outputMode="Append", timeMode="EventTime", eventTimeColumnName="time" if chained else "",
     )
 

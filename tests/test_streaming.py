@@ -171,3 +171,65 @@ def test_findings_kept_up_to_date(spark):
                 incremental.update(spark.createDataFrame(part, schema), number, evidence, store, detect, 4)
         got = incremental.current(spark, store).select("case_id", "finding_id", "n").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+class _Handle:
+    """State of one group that counts the calls to it, as each is a message between processes."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists = 0, [], {}
+
+    def getListState(self, name, schema):
+        handle, held = self, self.lists.setdefault(name, [])
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return iter(list(held))
+
+            def appendList(self, rows):
+                handle.calls += 1
+                held.extend(rows)
+
+            def put(self, rows):
+                handle.calls += 1
+                held[:] = rows
+
+            def clear(self):
+                handle.calls += 1
+                held.clear()
+
+        return State()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_group_of_keys_needs_few_calls_to_the_state(spark):
+    handle = _Handle()
+    processor = ordered._Ordered(machines.Lifecycle(300), ["case_id", "evidence_id"], ["string", "string"], False)
+    processor.init(handle)
+    rows = [("c", f"e{k % 40}", str(k), "QUEUED" if k < 40 else "EXTRACTING", f"r{k % 40}", _when(k * 10)) for k in range(400)]
+    stored = spark.createDataFrame(rows, MESSAGES)
+    sent = ordered._messages(stored, ["case_id", "evidence_id"], "at", "seq", ["status", "run_id"]).collect()
+    random.Random(8).shuffle(sent)
+    got = []
+    for part in (sent[:150], sent[150:]):
+        assert list(processor.handleInputRows((1,), iter(part), None)) == []
+    for seconds in (2000, 3000, 5000):
+        ms = _micros(seconds) // 1000
+        assert min(handle.timers) <= ms
+        got += processor.handleExpiredTimer((1,), _Watermark(ms), None)
+        handle.timers = [t for t in handle.timers if t > ms]
+    want = machines.lifecycle_batch(stored, _micros(90000), 300).collect()
+    assert sorted(str(sorted(r.asDict().items())) for r in got) == sorted(str(sorted(r.asDict().items())) for r in want)
+    assert handle.calls < 20
