@@ -232,17 +232,15 @@ def attach_pages(spans: DataFrame, pages: DataFrame) -> DataFrame:
     one all-against-all group.
     """
     p = page_offsets(pages).withColumn("_seg", _segments(F.col("page_start"), F.col("page_start") + F.col("page_length")))
-    s = spans.withColumn("_seg", F.floor(F.col("start") / SEGMENT)).withColumn("_key", F.xxhash64(*spans.columns))
-    inside = (F.col("page_start") <= F.col("start")) & (F.col("start") <= F.col("page_start") + F.col("page_length"))
-    hits = (
-        s.join(p, ["evidence_id", "_seg"]).where(inside)
-        .groupBy("evidence_id", "_key").agg(F.min(F.struct("page_no", "page_start")).alias("_p"))
-    )
+    near = p.groupBy("evidence_id", "_seg").agg(F.array_sort(F.collect_list(F.struct("page_no", "page_start", "page_length"))).alias("_near"))
+    inside = lambda page: (page["page_start"] <= F.col("start")) & (F.col("start") <= page["page_start"] + page["page_length"])
+    # a segment's pages are one row, so spans are read once, however long they took to find
+    joined = spans.withColumn("_seg", F.floor(F.col("start") / SEGMENT)).join(near, ["evidence_id", "_seg"], "left")
     return (
-        s.join(hits, ["evidence_id", "_key"], "left")
+        joined.withColumn("_p", F.try_element_at(F.filter("_near", inside), F.lit(1)))
         .withColumn("page_number", F.coalesce("_p.page_no", F.lit(1)))
         .withColumn("page_relative_start", F.col("start") - F.coalesce("_p.page_start", F.lit(0)))
-        .drop("_seg", "_key", "_p")
+        .drop("_seg", "_near", "_p")
     )
 
 

@@ -21,6 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.stored(spark, sf_dir, "corpus", _documents)
 
 
+def by_document(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows dealt out by document, by the number of documents. Before documents become pages and tokens, which are many
+    times as many and as wide, this is all that has to be moved for these to meet."""
+    tasks = -(-documents(spark, sf_dir).count() // DOCUMENTS_PER_TASK)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks), "evidence_id")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = ct.table(spark, sf_dir, "orders")
     # a table of orders may be a single split, which would leave all later work to one task

@@ -32,7 +32,8 @@ def results(spark, sf):
 
 
 def pages(spark, sf):
-    d = tc.documents(spark, sf)
+    """Pages of each document, which lie by document: tokens and spans made from them need no shuffle to meet."""
+    d = tc.by_document(spark, sf, tc.documents(spark, sf).select("evidence_id", "page_one", "page_two"))
     return d.select("evidence_id", F.posexplode(F.array("page_one", "page_two")).alias("_p", "text")).select(
         "evidence_id", (F.col("_p") + 1).alias("page_no"), "text"
     )
@@ -236,6 +237,7 @@ def _boxes(s, p):
     found = entities.extract(pg, "date_day_first")
     key = F.split("evidence_id", "#")
     sp = found.select(F.element_at(key, 1).alias("evidence_id"), F.element_at(key, 2).cast("int").alias("page_no"), "start", "end", "raw")
+    sp = tc.by_document(s, p, sp)  # the id was taken apart, so spans have to be moved back, once
     return text.attach_bbox(sp, t).select("evidence_id", "page_no", "raw", "x0", "y0", "x1", "y1")
 
 
