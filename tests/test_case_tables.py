@@ -79,3 +79,14 @@ def test_all_findings_write_neither_events_nor_their_index(spark, monkeypatch):
     tables = _written(monkeypatch)
     findings.all_findings(ct.evidence(spark, SMALL), ct.events(spark, SMALL, "case_id"))
     assert {"active", "members"}.isdisjoint(name for name, _ in tables)
+
+
+def test_reviews_and_dossiers_make_events_once(spark):
+    """Advisories are stored, so what reads them several times doesn't make the events anew; a dossier's events lie by case."""
+    from factloom.operators import reviews
+    from factloom.plans import case_queries as cq
+    session.prepare(spark)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan(reviews.active(reviews.history(*cq._submissions(spark, SMALL))))
+    dealt = [line for line in plan(cq._dossiers(spark, SMALL)).splitlines() if "RepartitionByExpression" in line]
+    assert dealt and all("case_id" in line and "evidence_id" not in line.split("]")[0] for line in dealt)
