@@ -12,10 +12,13 @@ training (Platt's sigmoid), and the threshold is the highest that keeps RECALL o
 Findings of the rules stay whatever the network says; it adds the candidates over the
 threshold that overlap none of them.
 
-Training takes a bounded number of different findings, about EXAMPLES of each kind,
-chosen by hash. Scanning covers whole texts. Defined results: a null or empty text has
-no findings; without examples of both kinds the network adds nothing; repeated rows are
-scanned each; other columns pass unchanged.
+Training takes every different finding of the corpus: a quarter of them, by hash, is for
+calibration, the rest is dealt by hash into shares of about SHARE. In each epoch every
+share trains a copy of the network, and the copies and their Adam moments are averaged.
+Calibration counts all held-out findings by their logits, in steps of 1 / STEPS.
+Scanning covers whole texts. Defined results: a null or empty text has no findings;
+without examples of both kinds the network adds nothing; repeated rows are scanned each;
+other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm import batches
+from factloom.llm import batches, sums
 from factloom.session import materialize
 
-#: Labelled findings used of each kind, about.
-EXAMPLES = 3000
+#: Labelled findings of one share of the training, about.
+SHARE = 6000
+#: Logits are calibrated in these steps, up to this size.
+STEPS, LARGEST = 1024, 30
 RECALL = 0.98
 BEFORE, TOKEN, AFTER = 24, 48, 12
 WIDTH, FILTERS, EPOCHS = 5, 24, 12
@@ -128,6 +133,23 @@ class Network:
         self.out = rng.standard_normal(2 * FILTERS) * 0.1
         self.shift = np.zeros(1)
         self.platt, self.threshold = (1.0, 0.0), 2.0
+        self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in self._arrays()]
+        self.step = 0.0
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        return self.kernel, self.bias, self.out, self.shift
+
+    def values(self) -> np.ndarray:
+        """All that training changes, in one row: arrays, Adam's moments and steps."""
+        parts = [*self._arrays(), *(x for pair in self.moments for x in pair)]
+        return np.concatenate([*(x.ravel() for x in parts), [self.step]])
+
+    def put(self, values: np.ndarray) -> None:
+        at = 0
+        for x in (*self._arrays(), *(x for pair in self.moments for x in pair)):
+            x[...] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.step = float(values[at])
 
     def _forward(self, windows: np.ndarray):
         n, length = windows.shape
@@ -148,46 +170,56 @@ class Network:
         a, b = self.platt
         return _sigmoid(a * self.logits(windows) + b)
 
-    def train(self, windows: np.ndarray, label: np.ndarray, seed: int = 11) -> None:
+    def epoch(self, windows: np.ndarray, label: np.ndarray, share: float, seed: tuple[int, ...]) -> None:
+        """One pass over the examples; ``share`` is that of secrets among all examples."""
         rng = np.random.default_rng(seed)
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.kernel, self.bias, self.out, self.shift)]
-        share = label.mean()
         weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
-        step = 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(order), 64):
-                rows = order[at : at + 64]
-                w = windows[rows].copy()
-                w[np.ix_(rng.random(len(rows)) < 0.5, range(BEFORE))] = _CLASSES - 1  # masked keywords
-                strips, a, b, pooled = self._forward(w)
-                error = (_sigmoid(pooled @ self.out + self.shift) - label[rows]) * weight[rows] / len(rows)
-                back = np.outer(error, self.out) * (pooled > 0)
-                grads = [np.zeros_like(self.kernel), np.zeros(FILTERS), pooled.T @ error, error.sum(keepdims=True)]
-                for half, at_ in ((back[:, :FILTERS], a), (back[:, FILTERS:], b)):
-                    seen = strips[np.arange(len(rows))[:, None], at_]  # rows, filters, inputs
-                    grads[0] += np.einsum("rfk,rf->kf", seen, half)
-                    grads[1] += half.sum(axis=0)
-                step += 1
-                for p, g, s in zip((self.kernel, self.bias, self.out, self.shift), grads, state):
-                    s[0] = 0.9 * s[0] + 0.1 * g
-                    s[1] = 0.999 * s[1] + 0.001 * g * g
-                    p -= 0.01 * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
-
-    def calibrate(self, windows: np.ndarray, label: np.ndarray) -> None:
-        """Platt's sigmoid, and the highest threshold (0.5 at least) that keeps RECALL of the secrets."""
-        x = self.logits(windows)
-        a, b = 1.0, 0.0
-        target = np.where(label > 0, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
+        order = rng.permutation(len(windows))
+        for at in range(0, len(order), 64):
+            rows = order[at : at + 64]
+            w = windows[rows].astype(np.int64)
+            w[np.ix_(rng.random(len(rows)) < 0.5, range(BEFORE))] = _CLASSES - 1  # masked keywords
+            strips, a, b, pooled = self._forward(w)
+            error = (_sigmoid(pooled @ self.out + self.shift) - label[rows]) * weight[rows] / len(rows)
+            back = np.outer(error, self.out) * (pooled > 0)
+            grads = [np.zeros_like(self.kernel), np.zeros(FILTERS), pooled.T @ error, error.sum(keepdims=True)]
+            for half, at_ in ((back[:, :FILTERS], a), (back[:, FILTERS:], b)):
+                seen = strips[np.arange(len(rows))[:, None], at_]  # rows, filters, inputs
+                grads[0] += np.einsum("rfk,rf->kf", seen, half)
+                grads[1] += half.sum(axis=0)
+            self.step += 1
+            for p, g, s in zip(self._arrays(), grads, self.moments):
+                s[0][...] = 0.9 * s[0] + 0.1 * g
+                s[1][...] = 0.999 * s[1] + 0.001 * g * g
+                p -= 0.01 * (s[0] / (1 - 0.9**self.step)) / (np.sqrt(s[1] / (1 - 0.999**self.step)) + 1e-8)
+
+    def calibrate(self, x: np.ndarray, label: np.ndarray, n: np.ndarray) -> None:
+        """Platt's sigmoid, and the highest threshold (0.5 at least) that keeps RECALL of the secrets.
+
+        ``n`` findings have the logit and label.
+        """
+        good, bad = n[label > 0].sum(), n[label <= 0].sum()
+        target = np.where(label > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+
+        def loss(ab) -> float:
+            z = ab[0] * x + ab[1]
+            return float((n * (np.logaddexp(0, z) - target * z)).sum())
+
+        ab = np.array([1.0, 0.0])
         for _ in range(50):
-            p = _sigmoid(a * x + b)
-            g = np.array([((p - target) * x).sum(), (p - target).sum()])
-            v = p * (1 - p) + 1e-9
+            p = _sigmoid(ab[0] * x + ab[1])
+            g = np.array([(n * (p - target) * x).sum(), (n * (p - target)).sum()])
+            v = n * (p * (1 - p) + 1e-9)
             h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + 1e-6 * np.eye(2)
-            a, b = np.array([a, b]) - np.linalg.solve(h, g)
-        self.platt = (float(a), float(b))
-        good = np.sort(self.probabilities(windows[label > 0]))
-        self.threshold = max(0.5, float(good[int((1 - RECALL) * len(good))]))
+            move = np.linalg.solve(h, g)
+            while loss(ab - move) > loss(ab) and np.abs(move).max() > 1e-9:
+                move = move / 2
+            ab = ab - move
+        self.platt = (float(ab[0]), float(ab[1]))
+        p = _sigmoid(ab[0] * x[label > 0] + ab[1])
+        order = np.argsort(p)
+        upto = np.cumsum(n[label > 0][order])
+        self.threshold = max(0.5, float(p[order][np.searchsorted(upto, int((1 - RECALL) * good), side="right")]))
 
 
 def labelled_findings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -221,27 +253,68 @@ def _plain_tokens(text: str, found: list[tuple[int, int, str]]) -> list[tuple[in
     return [m.span()]
 
 
+def _examples(share: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, labels and hashes of a share's findings, in the order of their hashes."""
+    items = share.values
+    windows = np.frombuffer(b"".join(items.field("window").to_pylist()), np.int8).reshape(len(items), -1)
+    return windows, items.field("label").to_numpy(), items.field("h").to_numpy()
+
+
+def _epoch(shares: DataFrame, network: Network, share: float, split: bool, number: int) -> None:
+    """One epoch of every share from the same network, which becomes their average."""
+    start = network.values()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(start) + 1)
+        for batch in it:
+            for name, items in zip(batch.column("share").to_pylist(), batch.column("items")):
+                windows, label, h = _examples(items)
+                used = h % 4 != 0 if split else np.ones(len(h), bool)
+                if used.any():
+                    copy = Network()
+                    copy.put(start)
+                    copy.epoch(windows[used], label[used], share, (11, number, name))
+                    total += np.append(copy.values(), 1) * used.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["values"])
+
+    total = sums.merged(shares.mapInArrow(run, "values binary"), len(start) + 1)
+    # in single precision, so that the order in which tasks are added up doesn't show
+    network.put((total[:-1] / total[-1]).astype(np.float32).astype(np.float64))
+
+
+def _logits(shares: DataFrame, network: Network, split: bool) -> DataFrame:
+    """How many held-out findings have a logit (in steps) and label."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for items in batch.column("items"):
+                windows, label, h = _examples(items)
+                used = h % 4 == 0 if split else np.ones(len(h), bool)
+                x = np.clip(network.logits(windows[used].astype(np.int64)), -LARGEST, LARGEST)
+                keys, n = np.unique(np.stack([np.floor(x * STEPS), label[used]]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(n, pa.int64())], names=["x", "label", "n"])
+
+    return shares.mapInArrow(run, "x double, label double, n long").groupBy("x", "label").agg(F.sum("n").alias("n"))
+
+
 def learn(docs: DataFrame, text: str = "text") -> Network:
-    """A network trained and calibrated on about EXAMPLES findings of each kind."""
+    """A network trained and calibrated on all different findings of the rows."""
     batches.ready(docs.sparkSession)
     found = labelled_findings(docs, text).distinct().withColumn("h", F.xxhash64("window"))
     found = materialize(found, "findings")
-    rows = []
-    for r in found.groupBy("label").count().collect():
-        # of more findings than EXAMPLES, those with hashes under a share: about as many, whatever the table's size
-        share = int(min(1.0, EXAMPLES / r["count"]) * (1 << 40))
-        rows += found.where((F.col("label") == r.label) & (F.pmod("h", F.lit(1 << 40)) < share)).collect()
-    rows.sort(key=lambda r: (r.h, r.window))
+    count = {(r.label, r.held): r["count"] for r in found.groupBy("label", (F.pmod("h", F.lit(4)) == 0).alias("held")).count().collect()}
     network = Network()
-    if not rows or len({r.label for r in rows}) < 2:
+    if len({label for label, _ in count}) < 2:
         return network
-    windows = np.stack([np.frombuffer(r.window, np.int8) for r in rows]).astype(np.int64)
-    label, held = np.array([r.label for r in rows]), np.array([r.h % 4 == 0 for r in rows])
-    if label[held].min(initial=2) == label[held].max(initial=-1) or len(np.unique(label[~held])) < 2:
-        held = np.zeros(len(rows), bool)
-    network.train(windows[~held], label[~held])
-    test = held if held.any() else ~held
-    network.calibrate(windows[test], label[test])
+    split = len(count) == 4  # both kinds on both sides; else all findings serve for both
+    used = {label: sum(n for (x, held), n in count.items() if x == label and not (split and held)) for label in (0.0, 1.0)}
+    shares = -(-sum(count.values()) // SHARE)
+    dealt = found.groupBy(F.pmod(F.shiftright("h", 8), F.lit(shares)).alias("share"))
+    dealt = materialize(dealt.agg(F.array_sort(F.collect_list(F.struct("h", "window", "label"))).alias("items")), "shares")
+    for number in range(EPOCHS):
+        _epoch(dealt, network, used[1.0] / sum(used.values()), split, number)
+    rows = sorted((r.x / STEPS, r.label, r.n) for r in _logits(dealt, network, split).collect())
+    network.calibrate(*(np.array(column, float) for column in zip(*rows)))
     return network
 
 

@@ -65,3 +65,19 @@ def test_rows_nulls_and_redaction(spark, network):
 
 def test_redacted_overlaps():
     assert c.redacted("abcdefgh", [(1, 4, "a"), (2, 6, "b"), (7, 8, "a")]) == "a[SECRET]g[SECRET]"
+
+
+def test_every_finding_trains_or_calibrates(spark, monkeypatch):
+    """Many shares give a network as good as one, and no finding is left out."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, secrets string")
+    monkeypatch.setattr(c, "SHARE", 60)
+    tables, counts = [], []
+    write, count = c.materialize, c.Network.calibrate
+    monkeypatch.setattr(c, "materialize", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    monkeypatch.setattr(c.Network, "calibrate", lambda self, x, label, n: counts.append(n.sum()) or count(self, x, label, n))
+    learned = c.learn(docs)
+    found, shares = dict(tables)["findings"], dict(tables)["shares"]
+    dealt = [x.window for r in shares.collect() for x in r["items"]]
+    assert shares.count() > 5 and sorted(dealt) == sorted(r.window for r in found.collect())
+    assert counts == [found.where("pmod(h, 4) = 0").count()]
+    test_held_out_secrets_are_recognised(learned)
