@@ -90,3 +90,21 @@ def test_reviews_and_dossiers_make_events_once(spark):
     assert "l_orderkey" not in plan(reviews.active(reviews.history(*cq._submissions(spark, SMALL))))
     dealt = [line for line in plan(cq._dossiers(spark, SMALL)).splitlines() if "RepartitionByExpression" in line]
     assert dealt and all("case_id" in line and "evidence_id" not in line.split("]")[0] for line in dealt)
+
+
+def test_tasks_follow_the_number_of_line_items(spark, monkeypatch):
+    """Few partitions of the session don't leave a task more lines than it can sort the events of."""
+    session.prepare(spark)
+    rows = lambda: versions.active_events(ct.events(spark, SMALL, "case_id"), ct.evidence(spark, SMALL))
+    found = sorted(rows().select("event_id", "source_name").collect())
+    monkeypatch.setattr(ct, "LINES_PER_TASK", 500)
+    tasks = -(-ct.table(spark, SMALL, "lineitem").count() // 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows()._jdf.queryExecution().executedPlan().toString()
+        assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in plan
+        assert "Exchange" not in plan.split("Generate explode")[0]
+        assert sorted(rows().select("event_id", "source_name").collect()) == found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
