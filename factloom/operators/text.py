@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import rules
+from factloom.functions import arrow_rows
 
 SEGMENT = 4096
 SKIP = "\uffff"
@@ -80,18 +84,59 @@ def clean_text(text: Column) -> Column:
     return F.translate(lf, "".join(rules.ZERO_WIDTH), "")
 
 
+def _positions(text: str, odd: re.Pattern, longer: dict[str, int]) -> tuple[list[int], list[int], int]:
+    """Where stretches of characters that are kept one by one begin, in the normalised and in the raw text, and how long
+    the normalised text is. Only characters that are dropped or become several begin a new stretch."""
+    norm, raw, count, at = [0], [0], 0, 0
+    for m in odd.finditer(text):
+        here = m.start()
+        count += here - at
+        if m[0] == "\r\n":
+            count += 1
+        for k in range(longer.get(m[0], 0)):
+            norm.append(count)
+            raw.append(here)
+            count += 1
+        at = m.end()
+        norm.append(count)
+        raw.append(at)
+    return norm, raw, count + len(text) - at
+
+
+def _raw_spans(longer: dict[str, int]):
+    odd = re.compile("\r\n|[" + "".join(re.escape(c) for c in [*rules.ZERO_WIDTH, SKIP, *longer]) + "]")
+
+    def work(texts, starts, ends):
+        out, last, found = [], None, None
+        for text, start, end in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            if text is None or start is None or end is None:
+                out.append(None)
+                continue
+            if text is not last:
+                if text != last:
+                    found = _positions(text, odd, longer)
+                last = text
+            norm, raw, n = found
+            if not (0 <= start < end <= n):
+                out.append(None)
+                continue
+            place = lambda q: raw[(k := bisect.bisect_right(norm, q) - 1)] + q - norm[k]
+            to = place(end - 1)
+            out.append((place(start), to + (2 if text.startswith("\r\n", to) else 1)))
+        return out
+
+    return work
+
+
 def map_span_to_raw(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """spans(text_id, norm_start, norm_end) -> raw [start, end) of each normalised span."""
-    t = texts.select("text_id", "text", _kept_chars(F.col("text")).alias("_k"))
-    j = spans.join(t, "text_id")
-    n = F.size("_k")
-    ok = (F.col("norm_start") < n) & (F.col("norm_end") <= n) & (F.col("norm_start") < F.col("norm_end"))
-    last = F.element_at("_k", F.col("norm_end"))["at"]
-    crlf = F.substr("text", last + 1, F.lit(2)) == "\r\n"
-    return j.where(ok).select(
-        *spans.columns, F.element_at("_k", F.col("norm_start") + 1)["at"].alias("raw_start"),
-        (last + F.when(crlf, 2).otherwise(1)).alias("raw_end"),
+    longer = {c: len(new) for c, new in _nfc_changes().items() if len(new) != 1}
+    kind = pa.struct([("raw_start", pa.int32()), ("raw_end", pa.int32())])
+    found = arrow_rows.column(
+        _raw_spans(longer), kind, F.col("text"), F.col("norm_start").cast("long"), F.col("norm_end").cast("long")
     )
+    j = spans.join(texts.select("text_id", "text"), "text_id").withColumn("_raw", found)
+    return j.where(F.col("_raw").isNotNull()).select(*spans.columns, "_raw.raw_start", "_raw.raw_end")
 
 
 def page_quality(pages: DataFrame) -> DataFrame:

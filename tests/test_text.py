@@ -52,3 +52,24 @@ def test_page_of_a_span(spark):
     )
     assert sorted(map(tuple, got.select("evidence_id", "start", "raw", "page_number", "page_relative_start").collect())) == sorted(want)
     assert got.select(F.count_if(F.col("page_number") > 1)).first()[0] > 100
+
+
+def test_raw_spans_of_normalised_text(spark):
+    """Against the characters one by one; the texts themselves are joined, no arrays of their characters."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b", "\r\n", "\r", "\n", "​", "﻿", "￿", "क़", "Å", "\U0001f600", "é"]) for _ in range(n)) for n in (0, 1, 2, 7, 40, 90)]
+    spans = [(str(i), s, e) for i, t in enumerate(texts) for s in range(len(t) + 2) for e in range(s, len(t) + 3, 3)] + [("9", 0, 1), ("0", None, 1)]
+    t = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)] + [("n", None)], "text_id string, text string")
+    df = text.map_span_to_raw(spark.createDataFrame(spans, "text_id string, norm_start int, norm_end int"), t)
+    want = []
+    for key, s, e in spans:
+        at = []
+        raw = texts[int(key)] if int(key) < len(texts) else ""
+        for i, c in enumerate(raw):
+            if c in "​﻿￿" or raw[i - 1:i + 1] == "\r\n" and i:
+                continue
+            at += [i] * (2 if c == "क़" else 1)
+        if s is not None and s < e <= len(at):
+            want.append((key, s, e, at[s], at[e - 1] + (2 if raw[at[e - 1]:at[e - 1] + 2] == "\r\n" else 1)))
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 500
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
